@@ -47,14 +47,15 @@ def _natural(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn1_hot_keys",
-    f"""WITH {EVENTS}
-SELECT a.subj AS u, a.obj AS v, b.obj AS w FROM ev a JOIN ev b ON a.subj = b.subj
-WHERE a.pred = 'click' AND b.pred = 'view'""",
+    f"""WITH {STAR}
+SELECT a.subj AS x, a.obj AS n, b.obj AS r FROM star a JOIN star b ON a.obj = b.subj
+WHERE a.pred = 'inNation' AND b.pred = 'inRegion'""",
 )
 def _hot_keys(spark: SparkSession, d: str) -> DataFrame:
-    events = event_triples(spark, d)
-    clicks, views = match(events, pattern("?u_click_?v")), match(events, pattern("?u_view_?w"))
-    return natural_join(clicks, views, hot_rows=15)
+    # A nation holds a fixed share of all customers, however many there are.
+    star = star_triples(spark, d)
+    where, region = match(star, pattern("?x_inNation_?n")), match(star, pattern("?n_inRegion_?r"))
+    return natural_join(where, region, hot_rows=50)
 
 
 @query(
@@ -178,10 +179,10 @@ def _two_hops(spark: SparkSession, d: str) -> DataFrame:
     "jn4_count_disconnected",
     f"""WITH {STAR}
 SELECT (SELECT count(*) FROM star WHERE pred = 'soldBy') *
-       (SELECT count(*) FROM star WHERE pred = 'brand' AND obj = 'Brand#7') AS n""",
+       (SELECT count(*) FROM star WHERE pred = 'inRegion' AND obj = 'R1') AS n""",
 )
 def _count_disconnected(spark: SparkSession, d: str) -> DataFrame:
-    pats = patterns(["?o_soldBy_?s", "?p_brand_Brand#7"])
+    pats = patterns(["?o_soldBy_?s", "?n_inRegion_R1"])
     return count_bgp(star_triples(spark, d), pats).select(F.col("rows").alias("n"))
 
 

@@ -97,8 +97,8 @@ def _exceptions(spark: SparkSession, d: str) -> DataFrame:
 
 _BLOCK = f"""WITH {_LOGS}, numbered AS (
   SELECT *, row_number() OVER (PARTITION BY file ORDER BY pos) AS line_no FROM logs), opened AS (
-  SELECT *, max(CASE WHEN line LIKE '%<result%' THEN line_no END) OVER (PARTITION BY file ORDER BY pos) AS at FROM numbered)
-SELECT file, pos, line FROM opened WHERE line_no - at <= 3"""
+  SELECT *, max(CASE WHEN line LIKE '%<result%' THEN line_no END) OVER (PARTITION BY file ORDER BY pos) AS opened_at FROM numbered)
+SELECT file, pos, line FROM opened WHERE line_no - opened_at <= 3"""
 
 
 @query("log3_block", _BLOCK)
@@ -106,11 +106,6 @@ def _block(spark: SparkSession, d: str) -> DataFrame:
     return runlogs.result_block(run_logs(spark, d), 2)
 
 
-@query("log3_block_split", _BLOCK)
-def _block_split(spark: SparkSession, d: str) -> DataFrame:
-    return runlogs.result_block(run_logs(spark, d), 2, split_rows=40)
-
-
 @query(
     "log4_check",
     f"""WITH {_LOGS}, {_CHECK}

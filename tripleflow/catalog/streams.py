@@ -50,7 +50,7 @@ def _stream_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str1_each", SQL["flt5_each"])
 def _stream_each(spark: SparkSession, d: str) -> DataFrame:
-    tagged = stream_match_each(event_stream(spark, d, 1), NINE, keep=["seq"])
+    tagged = stream_match_each(event_stream(spark, d, 1, prefix=""), NINE, keep=["seq"])
     return _collected(tagged).withColumn("bindings", render_map(F.col("bindings")))
 
 
@@ -67,7 +67,7 @@ def _stream_bgp(spark: SparkSession, d: str) -> DataFrame:
 @query("str3_counts", _COUNTS.replace("LEFT JOIN", "JOIN"))
 def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    tagged = stream_match_each(event_stream(spark, d, 1), NINE)
+    tagged = stream_match_each(event_stream(spark, d, 1, prefix=""), NINE)
     run_to_end(stream_count_table(tagged, f"{folder}/counts", f"{folder}/checkpoint"))
     return spark.read.schema("pattern_id int, n bigint").parquet(f"{folder}/counts")
 

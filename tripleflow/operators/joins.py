@@ -13,6 +13,8 @@ from tripleflow.operators.match import MATCHED
 
 COPIES = "_copies"
 _CHUNK = 65_536
+# Most parts one side of a hot key is cut into, and so the most copies made of the other.
+MAX_PARTS = 256
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
@@ -93,7 +95,7 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: i
     A small job first counts the keys that are over the limit on either side (the
     counts are combined before they are shuffled).  All other keys are joined as
     usual.  A hot key with l left and r right rows gets ceil(l/hot_rows) x
-    ceil(r/hot_rows) cells; each left row goes to one line of cells, each right row
+    ceil(r/hot_rows) cells, though no more than MAX_PARTS lines or columns; each left row goes to one line of cells, each right row
     to one column, so every pair meets exactly once.  Copies of a hot row are counted
     before and expanded after: what is placed is distinct, and placing by hash is
     both even and repeatable when a task is run again.
@@ -104,7 +106,8 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: i
     def over_limit(side: DataFrame, name: str) -> DataFrame:
         sizes = side.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         return sizes.where(F.col("_n") > hot_rows).select(
-            *on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts_" + name)
+            *on,
+            F.least(F.lit(MAX_PARTS), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_parts_" + name),
         )
 
     hot = over_limit(left, "l").join(over_limit(right, "r"), on, "full").fillna(

@@ -98,23 +98,23 @@ def group_by_shared_vars(pats: Sequence[Pattern]) -> list[list[int]]:
     return groups
 
 
-def connected_order(pats: Sequence[Pattern]) -> list[list[int]]:
-    """Join orders, one list per connected component of the query.
+def connected_order(var_sets: Sequence[set[str]]) -> list[list[int]]:
+    """Join orders of inputs given by their variables, one list per connected part.
 
-    Inside a component the written order is kept, except that a pattern sharing
-    nothing with those before it waits for the first later one that does.
+    Inside a part the written order is kept, except that an input sharing nothing
+    with those before it waits for the first later one that does.
     """
-    waiting = list(range(len(pats)))
-    components: list[list[int]] = []
+    waiting = list(range(len(var_sets)))
+    parts: list[list[int]] = []
     while waiting:
         order = [waiting.pop(0)]
-        bound = variables(pats[order[0]])
+        bound = set(var_sets[order[0]])
         while True:
-            following = next((i for i in waiting if variables(pats[i]) & bound), None)
+            following = next((i for i in waiting if var_sets[i] & bound), None)
             if following is None:
                 break
             waiting.remove(following)
             order.append(following)
-            bound |= variables(pats[following])
-        components.append(order)
-    return components
+            bound |= var_sets[following]
+        parts.append(order)
+    return parts

@@ -63,7 +63,7 @@ def bgp(
             lambda a, b: natural_join(a, b, hot_rows),
             [match(triples, binding[i]) for i in order],
         )
-        for order in connected_order(binding)
+        for order in connected_order([variables(p) for p in binding])
     ]
     return _assemble(triples, pats, parts, allow_cross)
 
@@ -85,19 +85,14 @@ def bgp_grouped(
         )
         for group in groups
     ]
-    # A group counts as one pattern over all its variables when the groups are ordered.
-    widths = [tuple(f"?{v}" for v in sorted(set().union(*(variables(binding[i]) for i in g)))) for g in groups]
+    bound = [set().union(*(variables(binding[i]) for i in group)) for group in groups]
     parts = [
         reduce(lambda a, b: natural_join(a, b, hot_rows), [joined[g] for g in order])
-        for order in _order_of_groups(widths)
+        for order in connected_order(bound)
     ]
     return _assemble(triples, pats, parts, allow_cross)
 
 
-def _order_of_groups(widths: Sequence[tuple[str, ...]]) -> list[list[int]]:
-    return connected_order(widths)
-
-
 def count_bgp(
     triples: DataFrame,
     pats: Sequence[Pattern],
@@ -125,7 +120,7 @@ def count_bgp(
     totals = [
         match(triples, p).agg(F.count(F.lit(1)).alias(WEIGHT)) for p in pats if not variables(p)
     ]
-    for order in connected_order(binding):
+    for order in connected_order([variables(p) for p in binding]):
         own = [c for c in wanted if any(c in variables(binding[i]) for i in order)]
         totals.append(_count_part(triples, [binding[i] for i in order], own, eager))
 

@@ -67,9 +67,13 @@ def event_triples(spark: SparkSession, folder: str, prefix: str = "U") -> DataFr
 def event_stream(
     spark: SparkSession, folder: str, files_per_batch: int | None = None, prefix: str = "U"
 ) -> DataFrame:
-    """The events table followed as a stream, file by file, straight from where it lies."""
+    """The events table followed as a stream, file by file, straight from where it lies.
+
+    The path is written as a glob, which a file source takes for a single file as well
+    as for a folder of files.
+    """
     schema = table(spark, folder, "events").schema
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return events_as_triples(reader.parquet(f"{folder}/events.parquet"), prefix)
+    return events_as_triples(reader.parquet(f"{folder}/events.parque[t]"), prefix)
