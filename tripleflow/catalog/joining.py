@@ -18,11 +18,11 @@ from tripleflow.sources.triples import triple_universe
 # Items sold to a customer of the supplier's own nation, inside region R1.
 HOME_SALES = patterns(
     [
-        "?n_inRegion_R1",
-        "?c_inNation_?n",
-        "?o_placedBy_?c",
         "?o_soldBy_?s",
         "?s_inNation_?n",
+        "?n_inRegion_R1",
+        "?o_placedBy_?c",
+        "?c_inNation_?n",
     ]
 )
 
@@ -34,6 +34,12 @@ JOIN star s ON s.pred = 'inNation' AND s.subj = l.obj AND s.obj = n.subj
 WHERE n.pred = 'inRegion' AND n.obj = 'R1'"""
 
 
+def matched_star(spark: SparkSession, d: str, query: list[str]) -> list[DataFrame]:
+    pats = patterns(query)
+    star = star_triples(spark, d, pats)
+    return [match(star, p) for p in pats]
+
+
 @query(
     "jn1_natural",
     f"""WITH {STAR}
@@ -41,8 +47,7 @@ SELECT a.subj AS o, a.obj AS c, b.obj AS s FROM star a JOIN star b ON a.subj = b
 WHERE a.pred = 'placedBy' AND b.pred = 'soldBy'""",
 )
 def _natural(spark: SparkSession, d: str) -> DataFrame:
-    star = star_triples(spark, d)
-    return natural_join(match(star, pattern("?o_placedBy_?c")), match(star, pattern("?o_soldBy_?s")))
+    return natural_join(*matched_star(spark, d, ["?o_placedBy_?c", "?o_soldBy_?s"]))
 
 
 @query(
@@ -53,8 +58,7 @@ WHERE a.pred = 'inNation' AND b.pred = 'inRegion'""",
 )
 def _hot_keys(spark: SparkSession, d: str) -> DataFrame:
     # A nation holds a fixed share of all customers, however many there are.
-    star = star_triples(spark, d)
-    where, region = match(star, pattern("?x_inNation_?n")), match(star, pattern("?n_inRegion_?r"))
+    where, region = matched_star(spark, d, ["?x_inNation_?n", "?n_inRegion_?r"])
     return natural_join(where, region, hot_rows=50)
 
 
@@ -66,8 +70,7 @@ JOIN star b ON a.subj = b.subj JOIN star s ON s.subj = a.obj
 WHERE a.pred = 'placedBy' AND b.pred = 'status' AND s.pred = 'segment'""",
 )
 def _multi(spark: SparkSession, d: str) -> DataFrame:
-    star = star_triples(spark, d)
-    return multi_join([match(star, p) for p in patterns(["?o_placedBy_?c", "?o_status_?st", "?c_segment_?g"])])
+    return multi_join(matched_star(spark, d, ["?o_placedBy_?c", "?o_status_?st", "?c_segment_?g"]))
 
 
 @query(
@@ -78,9 +81,8 @@ WHERE a.pred = 'inRegion' AND a.obj = 'R1' AND b.pred = 'inNation' AND b.obj = '
   AND b.subj LIKE 'S%'""",
 )
 def _cross(spark: SparkSession, d: str) -> DataFrame:
-    star = star_triples(spark, d)
-    suppliers = star.where(F.col("subj").startswith("S"))
-    return cross(match(star, pattern("?n_inRegion_R1")), match(suppliers, pattern("?s_inNation_N7")))
+    nations, members = matched_star(spark, d, ["?n_inRegion_R1", "?s_inNation_N7"])
+    return cross(nations, members.where(F.col("s").startswith("S")))
 
 
 @query(
@@ -88,12 +90,12 @@ def _cross(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {STAR} SELECT n.subj AS n, c.subj AS c, o.subj AS o, s.subj AS s {_HOME}",
 )
 def _bgp(spark: SparkSession, d: str) -> DataFrame:
-    return bgp(star_triples(spark, d), HOME_SALES)
+    return bgp(star_triples(spark, d, HOME_SALES), HOME_SALES)
 
 
 @query("jn4_home_sales", f"WITH {STAR} SELECT n.subj AS n, count(*) AS n_items {_HOME} GROUP BY n.subj")
 def home_sales(spark: SparkSession, d: str) -> DataFrame:
-    counted = count_bgp(star_triples(spark, d), HOME_SALES, by=["n"])
+    counted = count_bgp(star_triples(spark, d, HOME_SALES), HOME_SALES, by=["n"])
     return counted.select(F.col("n").alias("n"), F.col("rows").alias("n_items"))
 
 
@@ -160,7 +162,7 @@ def _default_rows_grouped(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {STAR} SELECT n.subj AS n, c.subj AS c, o.subj AS o, s.subj AS s {_HOME}",
 )
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return bgp_grouped(star_triples(spark, d), HOME_SALES)
+    return bgp_grouped(star_triples(spark, d, HOME_SALES), HOME_SALES)
 
 
 @query(
@@ -183,7 +185,7 @@ SELECT (SELECT count(*) FROM star WHERE pred = 'soldBy') *
 )
 def _count_disconnected(spark: SparkSession, d: str) -> DataFrame:
     pats = patterns(["?o_soldBy_?s", "?n_inRegion_R1"])
-    return count_bgp(star_triples(spark, d), pats).select(F.col("rows").alias("n"))
+    return count_bgp(star_triples(spark, d, pats), pats).select(F.col("rows").alias("n"))
 
 
 @query(
@@ -210,10 +212,8 @@ def _merge(spark: SparkSession, d: str) -> DataFrame:
 SELECT subj AS v FROM star WHERE pred = 'soldBy' INTERSECT SELECT subj FROM star WHERE pred = 'placedBy' AND obj LIKE 'C1%'""",
 )
 def _value_sets(spark: SparkSession, d: str) -> DataFrame:
-    star = star_triples(spark, d)
-    sold = match(star, pattern("?v_soldBy_?s")).select("v")
-    placed = match(star, pattern("?v_placedBy_?c")).where(F.col("c").startswith("C1")).select("v")
-    return sold.intersect(placed)
+    sold, placed = matched_star(spark, d, ["?v_soldBy_?s", "?v_placedBy_?c"])
+    return sold.select("v").intersect(placed.where(F.col("c").startswith("C1")).select("v"))
 
 
 _DOMAIN = f"""WITH {STAR},

@@ -1,63 +1,108 @@
 """Relational tables seen as triples.
 
-Each triple view is a ``UNION ALL`` of projections with a literal predicate.  A
-pattern with a constant predicate therefore leaves only the branches that carry
-it, and only their two or three columns are read.
+A triple view is a ``UNION ALL`` of two-column projections with a literal predicate.
+A pattern with a constant predicate leaves only the branches that carry it, and a
+query whose predicates are all constant can ask for just those branches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tripleflow.patterns import Pattern, is_var
+
+# Columns of the tables.  Declared, so that building a plan reads no file.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
+class View(NamedTuple):
+    """One branch of the star view: which two columns make which predicate."""
+
+    pred: str
+    table: str
+    subj_prefix: str
+    subj: str
+    obj_prefix: str
+    obj: str
+
+
+STAR_VIEWS = (
+    View("inRegion", "nation", "N", "n_nationkey", "R", "n_regionkey"),
+    View("inNation", "customer", "C", "c_custkey", "N", "c_nationkey"),
+    View("segment", "customer", "C", "c_custkey", "", "c_mktsegment"),
+    View("inNation", "supplier", "S", "s_suppkey", "N", "s_nationkey"),
+    View("placedBy", "orders", "O", "o_orderkey", "C", "o_custkey"),
+    View("status", "orders", "O", "o_orderkey", "", "o_orderstatus"),
+    View("soldBy", "lineitem", "O", "l_orderkey", "S", "l_suppkey"),
+    View("hasPart", "lineitem", "O", "l_orderkey", "P", "l_partkey"),
+    View("brand", "part", "P", "p_partkey", "", "p_brand"),
+    View("type", "part", "P", "p_partkey", "", "p_type"),
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _key(prefix: str, column: str) -> Column:
-    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+def _term(prefix: str, column: str) -> str:
+    return f"concat('{prefix}', {column})" if prefix else f"cast({column} AS string)"
 
 
-def _facts(df: DataFrame, subj: Column, pred: str, obj: Column) -> DataFrame:
-    facts = df.select(subj.alias("subj"), F.lit(pred).alias("pred"), obj.alias("obj"))
-    return facts.where(F.col("subj").isNotNull() & F.col("obj").isNotNull())
+def _facts(spark: SparkSession, folder: str, view: View) -> DataFrame:
+    present = f"{view.subj} IS NOT NULL AND {view.obj} IS NOT NULL"
+    return table(spark, folder, view.table).where(present).selectExpr(
+        f"{_term(view.subj_prefix, view.subj)} AS subj",
+        f"'{view.pred}' AS pred",
+        f"{_term(view.obj_prefix, view.obj)} AS obj",
+    )
 
 
-def star_triples(spark: SparkSession, folder: str) -> DataFrame:
-    """The star schema as triples with prefixed keys: N nation, R region, C, S, O, P."""
-    nation, customer, supplier, orders, lineitem, part = (
-        table(spark, folder, n)
-        for n in ("nation", "customer", "supplier", "orders", "lineitem", "part")
-    )
+def star_triples(
+    spark: SparkSession, folder: str, pats: Iterable[Pattern] | None = None
+) -> DataFrame:
+    """The star schema as triples with prefixed keys: N nation, R region, C, S, O, P.
+
+    Given the patterns of a query, branches that none of them can match are left out.
+    """
+    wanted = None if pats is None else {p[1] for p in pats}
     views = [
-        _facts(nation, _key("N", "n_nationkey"), "inRegion", _key("R", "n_regionkey")),
-        _facts(customer, _key("C", "c_custkey"), "inNation", _key("N", "c_nationkey")),
-        _facts(customer, _key("C", "c_custkey"), "segment", F.col("c_mktsegment")),
-        _facts(supplier, _key("S", "s_suppkey"), "inNation", _key("N", "s_nationkey")),
-        _facts(orders, _key("O", "o_orderkey"), "placedBy", _key("C", "o_custkey")),
-        _facts(orders, _key("O", "o_orderkey"), "status", F.col("o_orderstatus")),
-        _facts(lineitem, _key("O", "l_orderkey"), "soldBy", _key("S", "l_suppkey")),
-        _facts(lineitem, _key("O", "l_orderkey"), "hasPart", _key("P", "l_partkey")),
-        _facts(part, _key("P", "p_partkey"), "brand", F.col("p_brand")),
-        _facts(part, _key("P", "p_partkey"), "type", F.col("p_type")),
+        v
+        for v in STAR_VIEWS
+        if wanted is None or v.pred in wanted or any(is_var(pred) for pred in wanted)
     ]
-    return reduce(DataFrame.unionAll, views)
+    if not views:
+        raise ValueError(f"no table carries any of {sorted(wanted)}")
+    return reduce(DataFrame.unionAll, [_facts(spark, folder, v) for v in views])
 
 
 def events_as_triples(events: DataFrame, prefix: str = "U") -> DataFrame:
     """``user event_type floor(value)`` with the arrival number ``seq`` and time ``ts``."""
-    subject = F.concat(F.lit(prefix), F.col("user_id").cast("string"))
-    whole = F.floor("value").cast("bigint").cast("string")
-    return events.select(
-        subject.alias("subj"),
-        F.col("event_type").alias("pred"),
-        whole.alias("obj"),
-        F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
-    ).where(F.col("subj").isNotNull() & F.col("pred").isNotNull() & F.col("obj").isNotNull())
+    present = "user_id IS NOT NULL AND event_type IS NOT NULL AND value IS NOT NULL"
+    return events.where(present).selectExpr(
+        f"{_term(prefix, 'user_id')} AS subj",
+        "event_type AS pred",
+        "cast(cast(floor(value) AS bigint) AS string) AS obj",
+        "event_id AS seq",
+        "cast(ts AS timestamp) AS ts",
+    )
 
 
 def event_triples(spark: SparkSession, folder: str, prefix: str = "U") -> DataFrame:
@@ -72,8 +117,7 @@ def event_stream(
     The path is written as a glob, which a file source takes for a single file as well
     as for a folder of files.
     """
-    schema = table(spark, folder, "events").schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(SCHEMAS["events"])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return events_as_triples(reader.parquet(f"{folder}/events.parque[t]"), prefix)

@@ -64,14 +64,27 @@ def to_lines(df: DataFrame, delim: str = PART_DELIM) -> DataFrame:
     return df.select(*others, F.concat_ws(delim, *POSITIONS).alias("line"))
 
 
-def parse_words(df: DataFrame, pred: str, col: str = "line") -> DataFrame:
-    """``subj, obj`` of the lines whose second space-separated word is ``pred``."""
-    others = [c for c in df.columns if c != col]
+def _words(df: DataFrame, col: str, mode: str, complete: Column, complaint: str) -> DataFrame:
+    """``df`` with its lines cut at single spaces; incomplete lines fail or are left out."""
+    if mode not in ("strict", "skip"):
+        raise ValueError(f"unknown mode {mode!r}")
     words = df.withColumn("_words", F.split(F.col(col), " "))
-    return words.where(F.col("_words").getItem(1) == pred).select(
-        *others,
-        F.col("_words").getItem(0).alias("subj"),
-        F.col("_words").getItem(2).alias("obj"),
+    complete = F.coalesce(complete, F.lit(False))
+    if mode == "skip":
+        return words.where(complete)
+    message = F.concat(F.lit(complaint + ": "), F.coalesce(F.col(col), F.lit("NULL")))
+    return words.withColumn("_words", F.when(complete, F.col("_words")).otherwise(F.raise_error(message)))
+
+
+def parse_words(df: DataFrame, pred: str, col: str = "line", mode: str = "strict") -> DataFrame:
+    """``subj, obj`` of the lines whose second space-separated word is ``pred``.
+
+    A line of fewer than three words fails the job, or in ``skip`` mode is left out.
+    """
+    others = [c for c in df.columns if c != col]
+    words = _words(df, col, mode, F.size("_words") >= 3, "fewer than three words")
+    return words.where(F.get("_words", 1) == pred).select(
+        *others, F.get("_words", 0).alias("subj"), F.get("_words", 2).alias("obj")
     )
 
 
@@ -82,15 +95,10 @@ def parse_words_int(
 
     A second word that is no integer fails the job, or in ``skip`` mode drops the line.
     """
-    if mode not in ("strict", "skip"):
-        raise ValueError(f"unknown mode {mode!r}")
     others = [c for c in df.columns if c != col]
-    words = df.withColumn("_words", F.split(F.col(col), " "))
-    number = F.col("_words").getItem(1).try_cast("int")
-    if mode == "strict":
-        complaint = F.concat(F.lit("Second word is not an integer: "), F.col(col))
-        number = F.when(number.isNotNull(), number).otherwise(F.raise_error(complaint))
-    return words.where(number == obj).select(*others, F.col("_words").getItem(0).alias("subj"))
+    number = F.get("_words", 1).try_cast("int")
+    words = _words(df, col, mode, number.isNotNull(), "second word is not an integer")
+    return words.where(number == obj).select(*others, F.get("_words", 0).alias("subj"))
 
 
 def _objects(spark: SparkSession, objects: int | DataFrame) -> DataFrame:
