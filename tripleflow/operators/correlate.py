@@ -6,18 +6,24 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tripleflow.functions.ordered import BROADCAST_ROWS, SPLIT_ROWS, arrival_number, running
+from tripleflow.functions.ordered import SPLIT_ROWS, arrival_number, running
 
 # Rows a join side remembers, and distinct values that make a key known.
 DEFAULT_CAPACITY = 10_000
 DEFAULT_THRESHOLD = 10
 
 
+def present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows in which none of ``columns`` is NULL; the test reaches the scan."""
+    return df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in columns], F.lit(True)))
+
+
 def bounded_join(
     left: DataFrame,
     right: DataFrame,
@@ -39,7 +45,7 @@ def bounded_join(
     columns of both sides, and ``left_seq`` and ``right_seq``.
     """
     numbered = number_sides(left, right, on, seq, per, split_rows)
-    pairs = remembered_pairs(numbered, on, capacity, retain, per)
+    pairs = remembered_pairs(numbered, on, capacity, retain)
     return flatten_pairs(pairs, left, right, on, seq)
 
 
@@ -77,7 +83,7 @@ def tag_sides(left: DataFrame, right: DataFrame, on: Sequence[str], seq: str) ->
         others = [c for c in df.columns if c not in (*on, seq)]
         mine = F.struct(*others) if others else F.struct(F.lit(1).alias("_none"))
         held = {"left_row": mine} if is_left else {"right_row": mine}
-        return df.dropna(subset=on).select(
+        return present(df, on).select(
             *on,
             F.col(seq).alias("at"),
             F.lit(is_left).alias("is_left"),
@@ -92,7 +98,6 @@ def remembered_pairs(
     on: Sequence[str],
     capacity: int,
     retain: str,
-    per: str,
     arriving: Column | None = None,
 ) -> DataFrame:
     """Pairs of numbered rows of opposite sides that meet in memory.
@@ -100,66 +105,63 @@ def remembered_pairs(
     With ``rank`` a row's own arrival number and ``seen`` how many rows of its side
     had arrived when the other row came, the earlier row is still remembered if
     ``rank > seen - capacity`` (latest), or if ``rank < capacity or rank = seen``
-    (first).  Neither rule is tested on all pairs of a key: see the two helpers.
+    (first).  Instead of testing all pairs of a key, remembered rows are filed under
+    slots and each arriving row looks into the one or two slots that matter to it.
+    Both roles read all columns of ``numbered``, so it is shuffled once for both.
     ``arriving`` limits the later row of a pair, for a stream that carries old rows.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     if retain not in ("first", "latest"):
         raise ValueError(f"retain must be 'first' or 'latest', not {retain!r}")
-    meet = _meet_first if retain == "first" else _meet_latest
-    arriving = F.lit(True) if arriving is None else arriving
-    left = numbered.where("is_left").select(
-        arriving.alias("_arrives"),
-        *on, F.col("at").alias("left_seq"), "left_row",
-        F.col("n_l").alias("left_rank"), F.col("n_r").alias("right_seen"),
-    )
-    right = numbered.where("not is_left").select(
-        arriving.alias("_arrives"),
-        *on, F.col("at").alias("right_seq"), "right_row",
-        F.col("n_r").alias("right_rank"), F.col("n_l").alias("left_seen"),
+    is_left = F.col("is_left")
+    own = F.when(is_left, F.col("n_l")).otherwise(F.col("n_r"))
+    other = F.when(is_left, F.col("n_r")).otherwise(F.col("n_l"))
+    slot_of, slots_to_see, meets = (_first_slots if retain == "first" else _latest_slots)(capacity)
+
+    held = numbered.select(
+        *on,
+        (~is_left).alias("_for_left"),
+        own.alias("rank"),
+        F.struct("at", "left_row", "right_row").alias("_held"),
+    ).withColumn("_slot", slot_of)
+    probe = numbered.where(F.lit(True) if arriving is None else arriving).select(
+        *on,
+        is_left.alias("_for_left"),
+        other.alias("seen"),
+        F.struct("at", "left_row", "right_row").alias("_probe"),
+    ).where(F.col("seen") > 0)
+    looks = probe.withColumn("_slot", F.explode(slots_to_see))
+    met = held.join(looks, [*on, "_for_left", "_slot"]).where(meets)
+
+    left = F.when(F.col("_for_left"), F.col("_probe")).otherwise(F.col("_held"))
+    right = F.when(F.col("_for_left"), F.col("_held")).otherwise(F.col("_probe"))
+    return met.select(
+        *on,
+        left["at"].alias("left_seq"),
+        right["at"].alias("right_seq"),
+        left["left_row"].alias("left_row"),
+        right["right_row"].alias("right_row"),
     )
-    columns = [*on, "left_seq", "right_seq", "left_row", "right_row"]
-    new_left, new_right = (side.where("_arrives").drop("_arrives") for side in (left, right))
-    left, right = left.drop("_arrives"), right.drop("_arrives")
-    right_comes = meet(left, new_right, on, "left", capacity, per).select(*columns)
-    left_comes = meet(right, new_left, on, "right", capacity, per).select(*columns)
-    return right_comes.unionAll(left_comes)
 
 
-def _meet_latest(
-    held: DataFrame, probe: DataFrame, on: Sequence[str], name: str, capacity: int, per: str
-) -> DataFrame:
-    """Probe rows look back over the last ``capacity`` held rows.
-
-    Held rows lie in blocks of ``capacity`` ranks, so a look-back touches two blocks
-    at most and a block has no more than ``capacity`` held rows.
-    """
-    rank, seen = F.col(f"{name}_rank"), F.col(f"{name}_seen")
-    block = held.withColumn("_block", F.floor((rank - 1) / capacity))
+def _latest_slots(capacity: int) -> tuple[Column, Column, Column]:
+    """Slots are blocks of ``capacity`` ranks; a look-back touches two of them at most."""
+    rank, seen = F.col("rank"), F.col("seen")
     oldest = F.greatest(F.lit(1), seen - capacity + 1)
-    reach = probe.where(seen >= 1).withColumn(
-        "_block",
-        F.explode(F.sequence(F.floor((oldest - 1) / capacity), F.floor((seen - 1) / capacity))),
+    blocks = F.array_distinct(
+        F.array(F.floor((oldest - 1) / capacity), F.floor((seen - 1) / capacity))
     )
-    met = block.join(reach, [*on, "_block"])
-    return met.where((rank <= seen) & (rank > seen - capacity))
+    return F.floor((rank - 1) / capacity), blocks, (rank <= seen) & (rank > seen - capacity)
 
 
-def _meet_first(
-    held: DataFrame, probe: DataFrame, on: Sequence[str], name: str, capacity: int, per: str
-) -> DataFrame:
-    """Probe rows meet the lasting rows of the key, and the one newest row by its rank."""
-    rank, seen = F.col(f"{name}_rank"), F.col(f"{name}_seen")
-    lasting = held.where(rank < capacity)
-    if per == "stream" and capacity <= BROADCAST_ROWS:
-        lasting = F.broadcast(lasting)  # fewer than `capacity` rows in all
-    with_lasting = lasting.join(probe, list(on)).where(rank <= seen)
-    newest = held.where(rank >= capacity).withColumn("_newest", rank)
-    with_newest = newest.join(
-        probe.where(seen >= capacity).withColumn("_newest", seen), [*on, "_newest"]
-    ).drop("_newest")
-    return with_lasting.unionByName(with_newest)
+def _first_slots(capacity: int) -> tuple[Column, Column, Column]:
+    """Slot 0 holds the lasting rows; any other row lies alone under its rank."""
+    rank, seen = F.col("rank"), F.col("seen")
+    lasting = F.lit(0).cast("bigint")
+    slot_of = F.when(rank < capacity, lasting).otherwise(rank)
+    wanted = F.when(seen < capacity, F.array(lasting)).otherwise(F.array(lasting, seen))
+    return slot_of, wanted, rank <= seen
 
 
 def flatten_pairs(
@@ -176,7 +178,7 @@ def pair_up(
     df: DataFrame, key: str, seq: str = "seq", split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
     """Every second arrival of a key; the first of each two only waits."""
-    numbered = arrival_number(df.dropna(subset=[key]), [key], seq, "_nth", split_rows)
+    numbered = arrival_number(present(df, [key]), [key], seq, "_nth", split_rows)
     return numbered.where(F.col("_nth") % 2 == 0).drop("_nth")
 
 
@@ -211,7 +213,7 @@ def threshold_reached(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    rows = df.dropna(subset=[key, value]).select(key, value, seq)
+    rows = present(df, [key, value]).select(key, value, seq)
     appeared = rows.groupBy(key, value).agg(F.min(seq).alias("_first"))
     in_order = W.partitionBy(key).orderBy("_first")
     earliest = appeared.withColumn("_d", F.row_number().over(in_order)).where(F.col("_d") <= n + 1)

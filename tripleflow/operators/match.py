@@ -19,6 +19,7 @@ from tripleflow.patterns import (
     Pattern,
     canonical,
     is_var,
+    var_name,
     variable_positions,
     variables,
 )
@@ -35,11 +36,15 @@ def condition(pat: Pattern) -> Column:
     return reduce(Column.__and__, tests) if tests else F.lit(True)
 
 
+def _no_bindings() -> Column:
+    return F.from_json(F.lit("{}"), "map<string,string>")
+
+
 def bindings_map(pat: Pattern) -> Column:
     """The bindings of one pattern as a map, names sorted and marked."""
     held = sorted(variable_positions(pat).items())
     if not held:
-        return F.from_json(F.lit("{}"), "map<string,string>")
+        return _no_bindings()
     return F.create_map(
         *[c for name, pos in held for c in (F.lit(VAR_MARK + name), F.col(pos[0]))]
     )
@@ -53,8 +58,8 @@ def match(triples: DataFrame, pat: Pattern, keep: Sequence[str] = ()) -> DataFra
     return triples.where(condition(pat)).select(*bound, *keep)
 
 
-def _tagged_array(pats: Sequence[Pattern]) -> Column:
-    """Array of ``(pattern_id, bindings)`` of the patterns that fit the row."""
+def _tagged(pats: Sequence[Pattern]) -> Column:
+    """Array of ``(pattern_id, bindings)`` per pattern, NULL for those that do not fit."""
     entries = [
         F.when(
             condition(p),
@@ -62,20 +67,26 @@ def _tagged_array(pats: Sequence[Pattern]) -> Column:
         )
         for i, p in enumerate(pats)
     ]
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return F.array(*entries)
+
+
+def _fits_any(triples: DataFrame, pats: Sequence[Pattern]) -> DataFrame:
+    """The triples at least one pattern wants; a test on constants that reaches the scan."""
+    return triples.where(reduce(Column.__or__, [condition(p) for p in pats], F.lit(False)))
 
 
 def match_each(triples: DataFrame, pats: Sequence[Pattern], keep: Sequence[str] = ()) -> DataFrame:
     """One row per triple and fitting pattern: ``pattern_id, bindings``.  One scan for all."""
-    return triples.select(*keep, F.inline(_tagged_array(pats)))
+    tagged = _fits_any(triples, pats).select(*keep, F.explode(_tagged(pats)).alias("_hit"))
+    return tagged.where(F.col("_hit").isNotNull()).select(*keep, "_hit.*")
 
 
 def match_packed(
     triples: DataFrame, pats: Sequence[Pattern], keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per triple that fits at least one pattern: ``all_bindings`` by pattern id."""
-    packed = F.map_from_entries(_tagged_array(pats)).alias("all_bindings")
-    return triples.select(*keep, packed).where(F.size("all_bindings") > 0)
+    packed = F.map_from_entries(F.array_compact(_tagged(pats))).alias("all_bindings")
+    return _fits_any(triples, pats).select(*keep, packed)
 
 
 def match_streams(
@@ -106,30 +117,49 @@ _FORM_SCHEMA = T.StructType(
     [
         T.StructField("mask", T.IntegerType(), False),
         *[T.StructField("c_" + p, T.StringType()) for p in POSITIONS],
+        T.StructField("equal", T.IntegerType(), False),
+        T.StructField("bound", T.IntegerType(), False),
         T.StructField("uses", T.ArrayType(T.StructType([
             T.StructField("pattern_id", T.IntegerType(), False),
-            T.StructField("held", T.MapType(T.StringType(), T.StringType()), False),
+            *[T.StructField("n_" + p, T.StringType()) for p in POSITIONS],
         ])), False),
-        T.StructField("equal", T.ArrayType(T.ArrayType(T.StringType())), False),
     ]
 )
+# Pairs of positions a repeated variable can hold, by their bit in ``equal``.
+_PAIRS = {1: ("subj", "pred"), 2: ("subj", "obj"), 4: ("pred", "obj")}
+
+
+def _bits(flags: Sequence[bool]) -> int:
+    return sum(1 << i for i, flag in enumerate(flags) if flag)
 
 
 def _forms(pats: Sequence[Pattern]) -> list[tuple]:
-    """One row per canonical pattern, listing who uses it and under which names."""
+    """One row per canonical pattern, listing who uses it and under which names.
+
+    ``mask`` has a bit per constant position, ``equal`` one per pair of positions that
+    must agree, ``bound`` one per position that first holds a variable.
+    """
     users: dict[Pattern, list[int]] = {}
     for i, pat in enumerate(pats):
         users.setdefault(canonical(pat), []).append(i)
     rows = []
     for form, ids in users.items():
-        mask = sum(1 << i for i, part in enumerate(form) if not is_var(part))
-        constants = [None if is_var(part) else part for part in form]
+        held = variable_positions(form).values()
+        first = {positions[0] for positions in held}
         uses = [
-            (i, {VAR_MARK + n: pos[0] for n, pos in variable_positions(pats[i]).items()})
+            (i, *[VAR_MARK + var_name(part) if pos in first else None
+                  for pos, part in zip(POSITIONS, pats[i])])
             for i in ids
         ]
-        equal = [held for held in variable_positions(form).values() if len(held) > 1]
-        rows.append((mask, *constants, uses, equal))
+        rows.append(
+            (
+                _bits([not is_var(part) for part in form]),
+                *[None if is_var(part) else part for part in form],
+                sum(bit for bit, pair in _PAIRS.items() if any(set(pair) <= set(h) for h in held)),
+                _bits([pos in first for pos in POSITIONS]),
+                uses,
+            )
+        )
     return rows
 
 
@@ -147,14 +177,12 @@ def match_shared(
     are broadcast; beyond that Spark picks the join.
     """
     rows = _forms(pats)
-    spark = triples.sparkSession
-    forms = spark.createDataFrame(rows, _FORM_SCHEMA)
+    forms = triples.sparkSession.createDataFrame(rows, _FORM_SCHEMA)
     if len(rows) <= broadcast_patterns:
         forms = F.broadcast(forms)
 
     masks = sorted({r[0] for r in rows})
-    probes = triples.select(*keep, *POSITIONS, F.explode(F.lit(masks)).alias("mask"))
-    probes = probes.withColumns(
+    probes = triples.select(*keep, *POSITIONS, F.explode(F.lit(masks)).alias("mask")).withColumns(
         {
             "k_" + pos: F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col(pos))
             for i, pos in enumerate(POSITIONS)
@@ -163,20 +191,23 @@ def match_shared(
     lookup = probes["mask"] == forms["mask"]
     for pos in POSITIONS:
         lookup = lookup & probes["k_" + pos].eqNullSafe(forms["c_" + pos])
-
-    def value_at(position: Column) -> Column:
-        picked = F.when(position == POSITIONS[0], F.col(POSITIONS[0]))
-        for pos in POSITIONS[1:]:
-            picked = picked.when(position == pos, F.col(pos))
-        return picked
-
-    agrees = F.forall(
-        "equal",
-        lambda held: F.forall(held, lambda position: value_at(position) == value_at(held[0])),
+    agrees = reduce(
+        Column.__and__,
+        [
+            (F.col("equal").bitwiseAND(bit) == 0) | (F.col(a) == F.col(b))
+            for bit, (a, b) in _PAIRS.items()
+        ],
     )
     hits = probes.join(forms, lookup).where(agrees)
-    return hits.select(*keep, *POSITIONS, F.inline("uses")).select(
-        *keep,
-        "pattern_id",
-        F.transform_values("held", lambda _, position: value_at(position)).alias("bindings"),
-    )
+    used = hits.select(*keep, *POSITIONS, "bound", F.inline("uses"))
+
+    bindings = F.when(F.col("bound") == 0, _no_bindings())
+    for bound in sorted({r[5] for r in rows} - {0}):
+        entries = [
+            c
+            for i, pos in enumerate(POSITIONS)
+            if bound >> i & 1
+            for c in (F.col("n_" + pos), F.col(pos))
+        ]
+        bindings = bindings.when(F.col("bound") == bound, F.create_map(*entries))
+    return used.select(*keep, "pattern_id", bindings.alias("bindings"))

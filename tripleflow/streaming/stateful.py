@@ -15,6 +15,7 @@ from tripleflow.operators.correlate import (
     DEFAULT_CAPACITY,
     DEFAULT_THRESHOLD,
     flatten_pairs,
+    present,
     remembered_pairs,
     tag_sides,
 )
@@ -32,7 +33,7 @@ def stream_pair_up(
     schema = T.StructType([_field(stream, key)])
 
     def step(batch: DataFrame, state: DataFrame, batch_id: int):
-        rows = batch.dropna(subset=[key])
+        rows = present(batch, [key])
         waiting = state.withColumn("_waits", F.lit(1))
         numbered = arrival_number(rows, [key], seq, "_nth", split_rows)
         pairs = numbered.join(waiting, key, "left").where(
@@ -87,7 +88,7 @@ def stream_threshold(
 
     def step(batch: DataFrame, state: DataFrame, batch_id: int):
         at = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), F.col(seq).alias("at"))
-        rows = batch.dropna(subset=[key, value]).select(key, value, seq, at.alias("_at"))
+        rows = present(batch, [key, value]).select(key, value, seq, at.alias("_at"))
         appeared = rows.groupBy(key, value).agg(F.min("_at").alias("_first")).unionByName(state)
         appeared = appeared.groupBy(key, value).agg(F.min("_first").alias("_first"))
         in_order = W.partitionBy(key).orderBy("_first")
@@ -148,7 +149,7 @@ def stream_bounded_join(
             }
         ).drop("_l0", "_r0")
         rows = state.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-        pairs = remembered_pairs(rows, on, capacity, retain, "key", F.col("_new"))
+        pairs = remembered_pairs(rows, on, capacity, retain, F.col("_new"))
 
         latest = rows.groupBy(*on).agg(
             _own_rank("is_left", "n_l").alias("_l1"), _own_rank("not is_left", "n_r").alias("_r1")
