@@ -48,9 +48,13 @@ def test_hand_worked_bounded_join(spark):
     assert pairs(latest) == Counter([("k", 2, 4), ("k", 3, 4)])
 
 
-@pytest.mark.parametrize("retain", ["first", "latest"])
-@pytest.mark.parametrize("capacity", [1, 2, 5, 1000])
-@pytest.mark.parametrize("split_rows", [10, 10**6])
+@pytest.mark.parametrize(
+    ("retain", "capacity", "split_rows"),
+    [
+        ("first", 1, 10), ("first", 3, 10), ("first", 1000, 10**6),
+        ("latest", 1, 10**6), ("latest", 3, 10), ("latest", 1000, 10),
+    ],
+)
 def test_bounded_join_equals_simulation(spark, retain, capacity, split_rows):
     arrivals = random_arrivals(capacity, 160, 4)
     left, right = sides(spark, arrivals)
