@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -12,6 +13,7 @@ from tripleflow.operators.joins import (
     natural_join,
     split_join,
 )
+from tripleflow.operators.match import match, share_scan
 from tripleflow.patterns import DEFAULT_QUERY, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
 from tripleflow.plans.domain import domain_cardinality, variable_domains
@@ -155,6 +157,44 @@ def test_domain_estimates(spark, universe):
     }
 
 
+def test_shared_scan_reads_the_source_once(universe, rows):
+    query = patterns([*DEFAULT_QUERY, "?x_foo_?b", "A_foo_1"])
+    shared = share_scan(universe, query)
+    assert bag(bgp(shared, query)) == bag(bgp(universe, query))
+    assert rows(count_bgp(shared, query, ["d"])) == rows(count_bgp(universe, query, ["d"]))
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in shared.values()]
+    parts = [re.search(r"PartitionFilters: \[.*?_part#\d+ = (\d+)", plan).group(1) for plan in plans]
+    # nine patterns, two of them equal up to names: each reads its own part
+    assert sorted(set(parts)) == [str(i) for i in range(8)] and parts[0] == parts[7]
+
+
+def test_skewed_natural_join_is_split_at_run_time(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "30k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        key = "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k"
+        left = spark.range(0, 60_000, 1, 6).selectExpr(key, "uuid() AS a")
+        right = spark.range(0, 3_000, 1, 6).selectExpr(
+            "CASE WHEN id = 0 THEN 'hot' ELSE concat('k', id) END AS k", "id AS b"
+        )
+        joined = natural_join(left, right)
+        assert len(joined.collect()) == 20_000 + 2_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_count_plan_has_no_row_blow_up(universe):
     """Variables nobody asks for are counted away below the joins."""
     plan = count_bgp(universe, patterns(["?u_foo_?x", "?u_bar_?y"]), ["u"])._jdf.queryExecution().optimizedPlan().toString()

@@ -97,6 +97,13 @@ def test_stream_cross_product(spark):
     assert got.count() == 16 == got.distinct().count()
 
 
+def test_stream_variable_free_pattern(spark):
+    stream = as_stream(triple_universe(spark, 4), fresh_folder(spark, "source"))
+    query = patterns(["?x_foo_2", "A_bar_1"])
+    got = collected(spark, stream_bgp(stream, query))
+    assert bag(got) == bag(bgp(triple_universe(spark, 4), query)) and got.count() == 3
+
+
 def test_stream_with_time_bound(spark, events, source):
     pats = patterns(["?u_click_?v", "?u_view_?w"])
     got = collected(spark, stream_bgp(source, pats, "ts", "1 hours"))

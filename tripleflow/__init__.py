@@ -34,6 +34,7 @@ from tripleflow.operators.match import (
     match_packed,
     match_shared,
     match_streams,
+    share_scan,
 )
 from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
@@ -88,6 +89,7 @@ __all__ = [
     "read_lines",
     "render",
     "rollup_partials",
+    "share_scan",
     "sort_by_leading_number",
     "threshold_reached",
     "to_lines",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tripleflow.catalog.registry import EVENTS, STAR, UNIVERSE, query
 from tripleflow.functions.text import merge_bindings, render_map
 from tripleflow.operators.joins import cross, multi_join, natural_join
-from tripleflow.operators.match import match, match_each
+from tripleflow.operators.match import match, match_each, share_scan
 from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
 from tripleflow.plans.domain import domain_cardinality, variable_domains
@@ -163,6 +163,13 @@ def _default_rows(spark: SparkSession, d: str) -> DataFrame:
     return bgp(universe, patterns(DEFAULT_QUERY))
 
 
+@query("jn4_shared_scan", _DEFAULT_ROWS)
+def _shared_scan(spark: SparkSession, d: str) -> DataFrame:
+    pats = patterns(DEFAULT_QUERY)
+    universe = triple_universe(spark, table(spark, d, "part").select("p_partkey"))
+    return bgp(share_scan(universe, pats), pats)
+
+
 @query("jn5_default_rows", _DEFAULT_ROWS)
 def _default_rows_grouped(spark: SparkSession, d: str) -> DataFrame:
     universe = triple_universe(spark, table(spark, d, "part").select("p_partkey"))

@@ -12,7 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,10 +22,23 @@ SPLIT_ROWS = 1_000_000
 MAX_STRETCHES = 4_096
 # Broadcast a helper table only up to this many rows; beyond it Spark chooses.
 BROADCAST_ROWS = 200_000
+# Most large keys that are listed in the plan; more of them stay a distributed table.
+LISTED_KEYS = 10_000
 
 _ALL, _BIG, _STRETCH, _AT = "_all", "_big", "_stretch", "_at"
 
 
+def list_if_few(groups: DataFrame) -> tuple[DataFrame, list[Row] | None]:
+    """``groups`` as a broadcast list with its rows, or as it is and None if it is long.
+
+    A listed table is computed once, so its parts of a plan cannot disagree.
+    """
+    found = groups.limit(LISTED_KEYS + 1).collect()
+    if len(found) > LISTED_KEYS:
+        return groups, None
+    return F.broadcast(groups.sparkSession.createDataFrame(found, groups.schema)), found
+
+
 def _broadcast_if(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -65,8 +78,8 @@ def running(
 
     ``seq`` must be unique within a key and castable to double without changing
     its order.  With no ``keys`` the whole frame is one sequence.  Two small jobs
-    run while the plan is built: the key sizes (pre-aggregated, one row comes
-    back) and, only if some key is over ``split_rows``, the cut points of ``seq``.
+    run while the plan is built: the key sizes, pre-aggregated, of which only the
+    keys over ``split_rows`` come back, and if there are any, the cut points of ``seq``.
     """
     totals, maxima = dict(totals or {}), dict(maxima or {})
     keys = list(keys)
@@ -75,14 +88,15 @@ def running(
         return running(whole, [_ALL], seq, totals, maxima, split_rows).drop(_ALL)
 
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    is_big = F.col("_n") > split_rows
-    seen = sizes.agg(
-        F.count_if(is_big).alias("big_keys"), F.max("_n").alias("largest")
-    ).first()
-    if not seen["big_keys"]:
+    big, found = list_if_few(sizes.where(F.col("_n") > split_rows))
+    if found == []:
         return _plain(df, keys, seq, totals, maxima)
+    if found is None:
+        largest, n_big = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > split_rows)).first()
+    else:
+        largest, n_big = max(row["_n"] for row in found), len(found)
 
-    stretches = min(MAX_STRETCHES, max(2, math.ceil(2 * seen["largest"] / split_rows)))
+    stretches = min(MAX_STRETCHES, max(2, math.ceil(2 * largest / split_rows)))
     # A NULL position sorts first, as it does in the window.
     at = F.coalesce(F.col(seq).cast("double"), F.lit(-math.inf))
     positioned = df.withColumn(_AT, at)
@@ -92,14 +106,13 @@ def running(
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     cut = Bucketizer(splits=splits, inputCol=_AT, outputCol=_STRETCH).transform(positioned)
 
-    big = _broadcast_if(
-        sizes.where(is_big).select(*keys, F.lit(True).alias(_BIG)), seen["big_keys"]
-    )
-    rows = (
-        _left_lookup(cut, big, keys)
-        .withColumn(_STRETCH, F.when(F.col(_BIG), F.col(_STRETCH)).otherwise(F.lit(-1.0)))
-        .drop(_AT)
-    )
+    if keys == [_ALL]:
+        marked = cut.withColumn(_BIG, F.lit(True))
+    else:
+        marked = _left_lookup(cut, big.select(*keys, F.lit(True).alias(_BIG)), keys)
+    rows = marked.withColumn(
+        _STRETCH, F.when(F.col(_BIG), F.col(_STRETCH)).otherwise(F.lit(-1.0))
+    ).drop(_AT)
 
     inner = _plain(rows, [*keys, _STRETCH], seq, totals, maxima)
 
@@ -113,7 +126,7 @@ def running(
         | {"_before_" + n: F.max("_before_" + n).over(earlier) for n in maxima}
     )
     joined = _left_lookup(
-        inner, _broadcast_if(before, seen["big_keys"] * stretches), [*keys, _STRETCH]
+        inner, _broadcast_if(before, n_big * stretches), [*keys, _STRETCH]
     )
     return joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col("_before_" + n), F.lit(0)) for n in totals}

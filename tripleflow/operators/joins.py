@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleflow.functions.ordered import BROADCAST_ROWS
+from tripleflow.functions.ordered import list_if_few
 from tripleflow.operators.match import MATCHED
 
 COPIES = "_copies"
@@ -113,11 +113,9 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: i
     hot = over_limit(left, "l").join(over_limit(right, "r"), on, "full").fillna(
         1, ["_parts_l", "_parts_r"]
     )
-    n_hot = hot.count()
-    if n_hot == 0:
+    hot, found = list_if_few(hot)
+    if found == []:
         return left.join(right, on)
-    if n_hot <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
 
     def placed(side: DataFrame, name: str, other: str) -> DataFrame:
         distinct = collapse_copies(side.join(hot, on, "left_semi"))

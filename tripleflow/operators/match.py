@@ -6,7 +6,7 @@ share a frame they travel as ``bindings MAP<STRING,STRING>`` with the ``?`` kept
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,10 +23,14 @@ from tripleflow.patterns import (
     variable_positions,
     variables,
 )
+from tripleflow.sources.workdir import fresh_folder
 
 # Stands in for the columns of a pattern that has no variable, so that its rows count.
 MATCHED = "_m"
 
+# Triples as one frame, or as `share_scan` leaves them: a frame per pattern.
+Triples = DataFrame | Mapping[Pattern, DataFrame]
+
 
 def condition(pat: Pattern) -> Column:
     """Constants equal their part; a repeated variable holds one value."""
@@ -50,8 +54,10 @@ def bindings_map(pat: Pattern) -> Column:
     )
 
 
-def match(triples: DataFrame, pat: Pattern, keep: Sequence[str] = ()) -> DataFrame:
+def match(triples: Triples, pat: Pattern, keep: Sequence[str] = ()) -> DataFrame:
     """The triples that fit, as one column per variable, plus the columns in ``keep``."""
+    if not isinstance(triples, DataFrame):
+        triples = triples[pat]
     bound = [F.col(pos[0]).alias(name) for name, pos in variable_positions(pat).items()]
     if not bound:
         bound = [F.lit(1).alias(MATCHED)]
@@ -75,6 +81,31 @@ def _fits_any(triples: DataFrame, pats: Sequence[Pattern]) -> DataFrame:
     return triples.where(reduce(Column.__or__, [condition(p) for p in pats], F.lit(False)))
 
 
+def share_scan(
+    triples: DataFrame, pats: Sequence[Pattern], folder: str | None = None
+) -> dict[Pattern, DataFrame]:
+    """Read ``triples`` once for all patterns of a query: each pattern's own triples.
+
+    For a source that is dear to read, such as lines that have to be parsed: one pass
+    writes the wanted triples to a table partitioned by pattern, patterns equal up to
+    names sharing a part, and each pattern then reads its part alone.  The result
+    stands for the triples in `match` and in whole queries.
+    """
+    spark = triples.sparkSession
+    folder = folder or fresh_folder(spark, "shared-scan")
+    forms = list(dict.fromkeys(canonical(p) for p in pats))
+    fitting = F.array(*[F.when(condition(f), F.lit(i)) for i, f in enumerate(forms)])
+    parted = _fits_any(triples, forms).withColumn("_part", F.explode(fitting))
+    parted.where(F.col("_part").isNotNull()).write.partitionBy("_part").parquet(folder)
+    # The partition column is in the folder names: a pattern's filter on it prunes the rest.
+    stored = spark.read.schema(
+        T.StructType([*triples.schema.fields, T.StructField("_part", T.IntegerType())])
+    ).parquet(folder)
+    return {
+        p: stored.where(F.col("_part") == forms.index(canonical(p))).drop("_part") for p in pats
+    }
+
+
 def match_each(triples: DataFrame, pats: Sequence[Pattern], keep: Sequence[str] = ()) -> DataFrame:
     """One row per triple and fitting pattern: ``pattern_id, bindings``.  One scan for all."""
     tagged = _fits_any(triples, pats).select(*keep, F.explode(_tagged(pats)).alias("_hit"))

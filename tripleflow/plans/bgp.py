@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleflow.operators.joins import cross, natural_join, times_matches
-from tripleflow.operators.match import match
+from tripleflow.operators.match import Triples, match
 from tripleflow.patterns import (
     Pattern,
     connected_order,
@@ -28,7 +28,7 @@ def _require(pats: Sequence[Pattern]) -> list[Pattern]:
 
 
 def _assemble(
-    triples: DataFrame,
+    triples: Triples,
     pats: Sequence[Pattern],
     parts: list[DataFrame],
     allow_cross: bool,
@@ -47,7 +47,7 @@ def _assemble(
 
 
 def bgp(
-    triples: DataFrame,
+    triples: Triples,
     pats: Sequence[Pattern],
     allow_cross: bool = False,
     hot_rows: int | None = None,
@@ -69,7 +69,7 @@ def bgp(
 
 
 def bgp_grouped(
-    triples: DataFrame,
+    triples: Triples,
     pats: Sequence[Pattern],
     allow_cross: bool = False,
     hot_rows: int | None = None,
@@ -94,7 +94,7 @@ def bgp_grouped(
 
 
 def count_bgp(
-    triples: DataFrame,
+    triples: Triples,
     pats: Sequence[Pattern],
     by: Sequence[str] = (),
     eager: str = "patterns",
@@ -136,7 +136,7 @@ def count_bgp(
 
 
 def _count_part(
-    triples: DataFrame, pats: Sequence[Pattern], by: Sequence[str], eager: str
+    triples: Triples, pats: Sequence[Pattern], by: Sequence[str], eager: str
 ) -> DataFrame:
     """Weighted left-deep join of connected patterns, summed at the end."""
 
