@@ -13,7 +13,7 @@ from tripleflow.operators.joins import (
     natural_join,
     split_join,
 )
-from tripleflow.operators.match import match, share_scan
+from tripleflow.operators.match import share_scan
 from tripleflow.patterns import DEFAULT_QUERY, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
 from tripleflow.plans.domain import domain_cardinality, variable_domains
@@ -61,6 +61,15 @@ def test_split_join_equals_plain_join(spark, hot_rows):
     assert bag(split_join(left, right, ["k"], hot_rows)) == bag(left.join(right, "k"))
 
 
+@pytest.mark.parametrize("salt", [(1, 1), (4, 1), (3, 5)])
+def test_salted_join_equals_plain_join(spark, universe, salt):
+    left = spark.createDataFrame([("hot", str(i % 7)) for i in range(60)] + [("k", "0")], "k string, a string")
+    right = spark.createDataFrame([("hot", str(i)) for i in range(20)] + [("m", "0")], "k string, b string")
+    assert bag(natural_join(left, right, salt=salt)) == bag(left.join(right, "k"))
+    query = patterns(DEFAULT_QUERY)
+    assert bag(bgp_grouped(universe, query, salt=salt)) == bag(bgp(universe, query))
+
+
 def test_copies_survive_collapsing(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)], "k string")
     assert bag(expand_copies(collapse_copies(df))) == Counter({("a",): 5, ("b",): 1})

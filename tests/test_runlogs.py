@@ -1,7 +1,6 @@
 import pytest
 
 from tripleflow.operators import runlogs
-from tripleflow.operators.aggregate import means_by
 from tripleflow.sources.lines import read_log
 
 GOOD = """0 preparing
@@ -85,4 +84,6 @@ def test_latencies_of_summaries(spark, tmp_path, rows):
     (tmp_path / "summary_x").write_text("ITERATION=1\nlastack-firstemit=4.444\nlastack-firstemit=2\n\nresults OK\n")
     found = runlogs.latencies(read_log(spark, str(tmp_path)))
     assert rows(found) == [("summary_x", "2"), ("summary_x", "4.444")]
-    assert rows(means_by(found), "report") == [("3.222 summary_x",)]
+    (tmp_path / "summary_y").write_text("lastack-firstemit=\n")
+    means = runlogs.means_by_file(spark, str(tmp_path))
+    assert rows(means, "report") == [("3.222 summary_x",), ("NaN summary_y",)]

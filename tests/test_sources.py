@@ -53,6 +53,14 @@ def test_other_delimiters_are_characters_not_patterns(spark, rows):
     assert rows(parse_triples(lines(spark, "A^foo^]1"), delim="^]")) == [("A", "foo", "1")]
 
 
+def test_trim_takes_every_low_character_and_no_other(spark):
+    df = spark.sql("SELECT id, concat(char(id), ' a', char(id), 'b ', char(id)) AS line FROM range(1, 160)")
+    got = {r["id"]: r["line"] for r in clean_lines(df.where("id NOT IN (10, 13)")).collect()}
+    for i, line in got.items():
+        c = chr(i)
+        assert line == (f"a{c}b" if i <= 32 else f"{c} a{c}b {c}"), i
+
+
 def test_validate_counts(spark, rows):
     df = lines(spark, "A_foo_1", "A_foo", "x", None)
     assert rows(validate_triples(df)) == [(False, 3), (True, 1)]

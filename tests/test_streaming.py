@@ -106,7 +106,7 @@ def test_stream_variable_free_pattern(spark):
 
 def test_stream_with_time_bound(spark, events, source):
     pats = patterns(["?u_click_?v", "?u_view_?w"])
-    got = collected(spark, stream_bgp(source, pats, "ts", "1 hours"))
+    got = collected(spark, stream_bgp(source, pats, "ts", "1 hours", salt=(2, 2)))
     expected = stream_bgp(events, pats, "ts", "1 hours")
     assert bag(got) == bag(expected) and got.count() > 0
     assert got.count() < bgp(events, pats).count()
@@ -123,7 +123,7 @@ def test_stream_counts(spark, events, source):
 def test_stream_counts_after_join(spark, events, source):
     pats = patterns(["?u_click_?v", "?u_view_?w"])
     folder = fresh_folder(spark, "out")
-    run_to_end(stream_row_counts(stream_bgp(source, pats), f"{folder}/n", f"{folder}/checkpoint", ["u"]))
+    run_to_end(stream_row_counts(stream_bgp(source, pats, salt=(3, 2)), f"{folder}/n", f"{folder}/checkpoint", ["u"]))
     got = spark.read.parquet(f"{folder}/n").groupBy("u").agg(F.sum("n").alias("n"))
     assert bag(got, "u", "n") == bag(bgp(events, pats).groupBy("u").agg(F.count("*").alias("n")), "u", "n")
 

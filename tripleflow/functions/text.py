@@ -6,19 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Every character up to U+0020 counts as blank at the ends of a line.
-EDGE_BLANKS = "^[\\x00-\\x20]+|[\\x00-\\x20]+$"
+EDGE_BLANKS = "".join(map(chr, range(0x21)))
 LINE_BREAKS = "\\r\\n|\\n|\\r"
 
 
 def trim_blanks(line: Column) -> Column:
     """Strip every leading and trailing character up to U+0020, not only spaces."""
-    return F.regexp_replace(line, EDGE_BLANKS, "")
+    return F.btrim(line, F.lit(EDGE_BLANKS))
 
 
 def tokens(line: Column, delim: str) -> Column:
     """Non-empty pieces between delimiter characters; runs of delimiters collapse."""
-    charset = "[" + "".join("\\" + c if not c.isalnum() else c for c in delim) + "]"
-    return F.filter(F.split(line, charset), lambda piece: piece != "")
+    run = "[" + "".join("\\" + c if not c.isalnum() else c for c in delim) + "]+"
+    inside = F.btrim(line, F.lit(delim))
+    return F.when(inside == "", F.array().cast("array<string>")).otherwise(F.split(inside, run))
 
 
 def leading_number(line: Column) -> Column:

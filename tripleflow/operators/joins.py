@@ -12,6 +12,8 @@ from tripleflow.functions.ordered import list_if_few
 from tripleflow.operators.match import MATCHED
 
 COPIES = "_copies"
+# Cell of a row whose key is spread over a grid of tasks.
+CELLS = ("_cell_l", "_cell_r")
 _CHUNK = 65_536
 # Most parts one side of a hot key is cut into, and so the most copies made of the other.
 MAX_PARTS = 256
@@ -74,19 +76,51 @@ def times_matches(bindings: DataFrame, matches: DataFrame) -> DataFrame:
     return _without_marker(expand_copies(bindings.crossJoin(F.broadcast(number))))
 
 
-def natural_join(left: DataFrame, right: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def natural_join(
+    left: DataFrame,
+    right: DataFrame,
+    hot_rows: int | None = None,
+    salt: tuple[int, int] | None = None,
+) -> DataFrame:
     """Inner equi-join on all columns in common; without any it is `cross`.
 
-    Spark chooses broadcast, hash or sort-merge and splits skewed partitions at run
-    time.  ``hot_rows`` adds an explicit split for batch joins whose hot keys are
-    known to be a problem: see `split_join`.
+    Spark chooses broadcast, hash or sort-merge and splits skewed partitions of a
+    batch join at run time.  ``hot_rows`` adds an explicit split for batch joins whose
+    hot keys are known to be a problem: see `split_join`.  ``salt`` spreads every key,
+    unmeasured, and so serves streams, whose joins are not split at run time: see
+    `spread`.
     """
     shared = shared_columns(left, right)
     if not shared:
         return cross(left, right)
     if hot_rows and not (left.isStreaming or right.isStreaming):
         return split_join(left, right, shared, hot_rows)
-    return left.join(right.drop(MATCHED), shared, "inner")
+    right = right.drop(MATCHED)
+    if salt:
+        left, right = spread(left, right, salt)
+        return left.join(right, [*shared, *CELLS], "inner").drop(*CELLS)
+    return left.join(right, shared, "inner")
+
+
+def spread(
+    left: DataFrame, right: DataFrame, parts: tuple[int, int]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cell columns to join on as well, so that a key fills many tasks.
+
+    With ``parts = (a, b)`` a left row goes to one of a lines and all b columns of a
+    grid, a right row to all lines and one column; each pair meets in exactly one
+    cell.  ``(a, 1)`` spreads the left side and copies the right one a times.
+    """
+    a, b = parts
+
+    def placed(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        cell = F.pmod(F.xxhash64(*df.columns), F.lit(n_own)).cast("int")
+        return df.withColumns({own: cell}).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
+        )
+
+    line, column = CELLS
+    return placed(left, line, a, column, b), placed(right, column, b, line, a)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
@@ -128,18 +162,21 @@ def split_join(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: i
             .withColumnRenamed(COPIES, "_copies_" + name)
         )
 
-    cells = [*on, "_cell_l", "_cell_r"]
-    met = placed(left, "l", "r").join(placed(right, "r", "l"), cells)
+    met = placed(left, "l", "r").join(placed(right, "r", "l"), [*on, *CELLS])
     from_hot = expand_copies(met.withColumn(COPIES, F.col("_copies_l") * F.col("_copies_r")))
     from_rest = left.join(hot, on, "left_anti").join(right.join(hot, on, "left_anti"), on)
-    return from_rest.unionByName(from_hot.drop("_cell_l", "_cell_r", "_copies_l", "_copies_r"))
+    return from_rest.unionByName(from_hot.drop(*CELLS, "_copies_l", "_copies_r"))
 
 
-def multi_join(frames: Sequence[DataFrame], hot_rows: int | None = None) -> DataFrame:
+def multi_join(
+    frames: Sequence[DataFrame],
+    hot_rows: int | None = None,
+    salt: tuple[int, int] | None = None,
+) -> DataFrame:
     """Natural join of any number of frames, left to right."""
     if not frames:
         raise ValueError("nothing to join")
-    return reduce(lambda a, b: natural_join(a, b, hot_rows), frames)
+    return reduce(lambda a, b: natural_join(a, b, hot_rows, salt), frames)
 
 
 def bound_within(left_time: Column, right_time: Column, gap: str) -> Column:

@@ -5,11 +5,12 @@ Every result is a per-file aggregate or a filter; no file is read whole by one t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleflow.functions.ordered import SPLIT_ROWS, arrival_number, running
-from tripleflow.operators.aggregate import rollup_partials
+from tripleflow.operators.aggregate import means_by, rollup_partials
+from tripleflow.sources.lines import read_log
 
 # What the lines of a run log look like, and the verdicts.
 STARTUP = '"startup"'
@@ -128,6 +129,11 @@ def latencies(summaries: DataFrame) -> DataFrame:
     return summaries.where(has(LATENCY)).select("file", values.alias("line"))
 
 
+def means_by_file(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Mean latency of each summary file: ``file, mean, report``."""
+    return means_by(latencies(read_log(spark, paths)))
+
+
 def summarise_by_experiment(logs: DataFrame, n_correct: int | None = None) -> DataFrame:
     """One row per run: its experiment, latency, exceptions and verdict.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleflow.operators.joins import cross, natural_join, times_matches
+from tripleflow.operators.joins import cross, multi_join, times_matches
 from tripleflow.operators.match import Triples, match
 from tripleflow.patterns import (
     Pattern,
@@ -51,18 +51,17 @@ def bgp(
     pats: Sequence[Pattern],
     allow_cross: bool = False,
     hot_rows: int | None = None,
+    salt: tuple[int, int] | None = None,
 ) -> DataFrame:
     """All bindings that satisfy every pattern, joined left-deep in written order.
 
     A pattern sharing nothing with those before it waits for a later one that does.
+    ``hot_rows`` and ``salt`` are passed on to `natural_join`.
     """
     pats = _require(pats)
     binding = [p for p in pats if variables(p)]
     parts = [
-        reduce(
-            lambda a, b: natural_join(a, b, hot_rows),
-            [match(triples, binding[i]) for i in order],
-        )
+        multi_join([match(triples, binding[i]) for i in order], hot_rows, salt)
         for order in connected_order([variables(p) for p in binding])
     ]
     return _assemble(triples, pats, parts, allow_cross)
@@ -73,21 +72,19 @@ def bgp_grouped(
     pats: Sequence[Pattern],
     allow_cross: bool = False,
     hot_rows: int | None = None,
+    salt: tuple[int, int] | None = None,
 ) -> DataFrame:
     """The rows of `bgp` from a bushy plan: each group of patterns first, then the groups."""
     pats = _require(pats)
     binding = [p for p in pats if variables(p)]
     groups = group_by_shared_vars(binding) if binding else []
     joined = [
-        reduce(
-            lambda a, b: natural_join(a, b, hot_rows),
-            [match(triples, binding[i]) for i in group],
-        )
+        multi_join([match(triples, binding[i]) for i in group], hot_rows, salt)
         for group in groups
     ]
     bound = [set().union(*(variables(binding[i]) for i in group)) for group in groups]
     parts = [
-        reduce(lambda a, b: natural_join(a, b, hot_rows), [joined[g] for g in order])
+        multi_join([joined[g] for g in order], hot_rows, salt)
         for order in connected_order(bound)
     ]
     return _assemble(triples, pats, parts, allow_cross)

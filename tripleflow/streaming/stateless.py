@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tripleflow.operators.joins import bound_within, shared_columns
+from tripleflow.operators.joins import CELLS, bound_within, shared_columns, spread
 from tripleflow.operators.match import MATCHED, match, match_each
 from tripleflow.patterns import Pattern
 from tripleflow.plans.bgp import bgp
@@ -23,6 +23,7 @@ def stream_bgp(
     event_time: str | None = None,
     max_gap: str | None = None,
     allow_cross: bool = False,
+    salt: tuple[int, int] | None = None,
 ) -> DataFrame:
     """A continuous conjunctive query: each new triple joins all that came before.
 
@@ -30,10 +31,11 @@ def stream_bgp(
     remember everything.  With ``event_time`` and ``max_gap`` (such as ``"10
     minutes"``) a result's triples lie within ``max_gap`` of the first pattern's
     triple, and Spark drops what can no longer join; ``event_time`` of the first
-    pattern stays in the result.
+    pattern stays in the result.  A stream join keeps a key in one task; ``salt``
+    spreads every key over a grid of them (see `spread`).
     """
     if event_time is None:
-        return bgp(triples, pats, allow_cross=allow_cross)
+        return bgp(triples, pats, allow_cross=allow_cross, salt=salt)
     if max_gap is None:
         raise ValueError("event_time needs max_gap")
     timed = triples.withWatermark(event_time, max_gap) if triples.isStreaming else triples
@@ -44,11 +46,14 @@ def stream_bgp(
         shared = shared_columns(acc, right)
         if not shared:
             raise ValueError(f"pattern {i} shares no variable with those before it")
+        if salt:
+            acc, right = spread(acc, right, salt)
+            shared = [*shared, *CELLS]
         renamed = right.withColumnsRenamed({c: "_r_" + c for c in shared})
         condition = bound_within(acc[event_time], renamed["_t"], max_gap)
         for c in shared:
             condition = condition & (acc[c] == renamed["_r_" + c])
-        acc = acc.join(renamed, condition).drop("_t", *["_r_" + c for c in shared])
+        acc = acc.join(renamed, condition).drop("_t", *CELLS, *["_r_" + c for c in shared])
     return acc
 
 
