@@ -141,6 +141,23 @@ def test_clumped_order_is_still_exact(spark):
     assert got == {at: i + 1 for i, (_, at) in enumerate(sorted(data))}
 
 
+def test_bursty_key_is_cut_inside_its_burst(spark):
+    """A large key that arrives in a short time still falls into several stretches."""
+    data = [("k", i) for i in range(400)] + [(f"x{i}", 1000 * i) for i in range(1, 4000)]
+    df = spark.createDataFrame(data, "k string, at bigint")
+    numbered = arrival_number(df, ["k"], "at", "n", 100)
+    got = {(r["k"], r["at"]): r["n"] for r in numbered.collect()}
+    assert got == {("k", i): i + 1 for i in range(400)} | {(f"x{i}", 1000 * i): 1 for i in range(1, 4000)}
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "_stretch" in plan
+
+
+def test_missing_positions_come_first(spark):
+    df = spark.createDataFrame([("k", None)] + [("k", i) for i in range(50)], "k string, at bigint")
+    got = {r["at"]: r["n"] for r in arrival_number(df, ["k"], "at", "n", 10).collect()}
+    assert got == {None: 1} | {i: i + 2 for i in range(50)}
+
+
 def test_no_window_over_a_whole_large_key(spark):
     df = spark.range(2000).selectExpr("'k' AS k", "id AS at")
     plan = arrival_number(df, ["k"], "at", "n", 100)._jdf.queryExecution().optimizedPlan().toString()

@@ -92,26 +92,28 @@ def running(
     if found == []:
         return _plain(df, keys, seq, totals, maxima)
     if found is None:
-        largest, n_big = sizes.agg(F.max("_n"), F.count_if(F.col("_n") > split_rows)).first()
+        big_rows, n_big = sizes.where(F.col("_n") > split_rows).agg(F.sum("_n"), F.count("_n")).first()
     else:
-        largest, n_big = max(row["_n"] for row in found), len(found)
+        big_rows, n_big = sum(row["_n"] for row in found), len(found)
+    if keys == [_ALL]:
+        marked = df.withColumn(_BIG, F.lit(True))
+    else:
+        marked = _left_lookup(df, big.select(*keys, F.lit(True).alias(_BIG)), keys)
 
-    stretches = min(MAX_STRETCHES, max(2, math.ceil(2 * largest / split_rows)))
-    # A NULL position sorts first, as it does in the window.
+    # Cut so that no stretch has more than about half of `split_rows` rows of all large
+    # keys together, however a key's rows clump.  A NULL position sorts first.
+    stretches = min(MAX_STRETCHES, max(2, math.ceil(2 * big_rows / split_rows)))
     at = F.coalesce(F.col(seq).cast("double"), F.lit(-math.inf))
-    positioned = df.withColumn(_AT, at)
-    cuts = positioned.approxQuantile(
+    positioned = marked.withColumn(_AT, at)
+    cuts = positioned.where(F.col(_BIG)).approxQuantile(
         _AT, [i / stretches for i in range(1, stretches)], 1.0 / (4 * stretches)
     )
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    splits = [-math.inf, *sorted(set(cuts) - {-math.inf}), math.inf]
+    if len(splits) == 2:  # no position to cut at
+        return _plain(df, keys, seq, totals, maxima)
     cut = Bucketizer(splits=splits, inputCol=_AT, outputCol=_STRETCH).transform(positioned)
-
-    if keys == [_ALL]:
-        marked = cut.withColumn(_BIG, F.lit(True))
-    else:
-        marked = _left_lookup(cut, big.select(*keys, F.lit(True).alias(_BIG)), keys)
-    rows = marked.withColumn(
-        _STRETCH, F.when(F.col(_BIG), F.col(_STRETCH)).otherwise(F.lit(-1.0))
+    rows = cut.withColumn(
+        _STRETCH, F.when(F.col(_BIG), F.col(_STRETCH).cast("int")).otherwise(F.lit(-1))
     ).drop(_AT)
 
     inner = _plain(rows, [*keys, _STRETCH], seq, totals, maxima)
