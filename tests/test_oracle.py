@@ -4,8 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, duck
-
-SQL = entry.oracle_sql()
+from tripleflow.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +13,14 @@ def con(small):
 
 
 def test_every_query_has_its_sql():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert QUERIES.items() <= entry.queries().items()
+    assert SQL.items() <= entry.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, small, name):
-    ok, note = compare(spark, con, name, entry.queries()[name], SQL.get(name), small)
+    ok, note = compare(spark, con, name, QUERIES[name], SQL[name], small)
     assert ok, note
 
 
