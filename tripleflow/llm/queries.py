@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripleflow.llm import exact_dedup, packing, sentencepiece_codec, token_files
+from tripleflow.llm import (
+    exact_dedup,
+    packing,
+    sentencepiece_codec,
+    simhash,
+    suffix_dedup,
+    token_files,
+)
 from tripleflow.llm.common import documents
 
 END_ID = 2
@@ -34,6 +41,14 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removal_digests(documents(spark, folder))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_file_round_trip(
         documents(spark, folder), tokenizer_file("byte_bpe_50k.json"), END_ID
@@ -44,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_simhash": op7_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }
 SQL = {"op2_exact_dedup": exact_dedup.ORACLE}
