@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleflow.llm import (
     exact_dedup,
+    html_extract,
+    line_dedup,
     packing,
+    quality,
     sentencepiece_codec,
     simhash,
     suffix_dedup,
     token_files,
+    toxicity,
 )
 from tripleflow.llm.common import documents
 
@@ -35,6 +39,19 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.dedup(documents(spark, folder))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.toxic_documents(documents(spark, folder), labels)
+
+
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(documents(spark, folder))
+
+
+def op5_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pieces_with_digest(
         documents(spark, folder), tokenizer_file("word_bpe_49k.json"), END_ID
@@ -45,6 +62,10 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, folder))
+
+
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removal_digests(documents(spark, folder))
 
@@ -58,9 +79,13 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
+    "op5_html_extract": op5_html_extract,
     "op6_packing": op6_packing,
     "op7_simhash": op7_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
 }
-SQL = {"op2_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -305,6 +306,30 @@ def spans_of(stretches: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[at].tolist(), reach[np.append(at[1:], len(end)) - 1].tolist(), strict=True))
 
 
+def stretches_by_document(docs: DataFrame) -> DataFrame:
+    """``doc_id, stretches``: one row per document that loses something."""
+    return repeated_strings(docs).groupBy("doc_id").agg(F.collect_list("sn").alias("stretches"))
+
+
+def _kept(raw: bytes, stretches: np.ndarray | None) -> tuple[list[tuple[int, int]], bytes]:
+    spans = [] if stretches is None else spans_of(np.asarray(stretches))
+    spans = [(b, min(e, len(raw))) for b, e in spans if b < len(raw)]
+    edges = [0, *(x for s in spans for x in s), len(raw)]
+    return spans, b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+
+
+@F.pandas_udf("string")
+def without_stretches(texts: pd.Series, stretches: pd.Series) -> pd.Series:
+    """The texts without the bytes of their stretches; characters cut in two go as a whole."""
+    return pd.Series(
+        [
+            t if t is None or s is None else _kept(t.encode(), s)[1].decode(errors="ignore")
+            for t, s in zip(texts, stretches, strict=True)
+        ],
+        dtype=object,
+    )
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, spans, kept``: one row per row.
 
@@ -325,17 +350,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 some, rows = batch.slice(k, 200), []
                 for doc_id, text, found in zip(some.column(0).to_pylist(), some.column(1), some.column(2), strict=True):
                     raw = text.as_py().encode()
-                    spans = spans_of(found.values.to_numpy()) if found.is_valid else []
-                    spans = [(b, min(e, len(raw))) for b, e in spans if b < len(raw)]
-                    edges = [0, *(x for s in spans for x in s), len(raw)]
-                    kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                    spans, kept = _kept(raw, found.values.to_numpy() if found.is_valid else None)
                     pairs = [{"begin": b, "end": e} for b, e in spans]
                     rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans), pairs, kept))
                 columns = zip(*rows, strict=True)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    stretches = repeated_strings(docs).groupBy("doc_id").agg(F.collect_list("sn").alias("stretches"))
-    return id_and_text(docs).join(stretches, "doc_id", "left").mapInArrow(
+    return id_and_text(docs).join(stretches_by_document(docs), "doc_id", "left").mapInArrow(
         cut,
         "doc_id long, n_bytes long, n_removed long, n_spans long, "
         "spans array<struct<begin:long,end:long>>, kept binary",
