@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleflow.llm.common import id_and_text, written
@@ -318,9 +318,12 @@ def _kept(raw: bytes, stretches: np.ndarray | None) -> tuple[list[tuple[int, int
     return spans, b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
-@F.pandas_udf("string")
-def without_stretches(texts: pd.Series, stretches: pd.Series) -> pd.Series:
-    """The texts without the bytes of their stretches; characters cut in two go as a whole."""
+def without_stretches(text: Column, stretches: Column) -> Column:
+    """A text without the bytes of its stretches; characters cut in two go as a whole."""
+    return F.pandas_udf(_texts_without, "string")(text, stretches)
+
+
+def _texts_without(texts: pd.Series, stretches: pd.Series) -> pd.Series:
     return pd.Series(
         [
             t if t is None or s is None else _kept(t.encode(), s)[1].decode(errors="ignore")
