@@ -27,24 +27,35 @@ BUCKETS = 1 << 16  # cells in which the rarity of tokens is counted
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, tokens``: lines with a shingle; tokens are 64-bit hashes, distinct."""
+    """``doc_id, line, tokens``: distinct 64-bit hashes of shingles, none for short lines.
+
+    Outer generators here and below: for the plain ones Spark infers a filter on the size of
+    their array, which computes the array once more, inside its own lambda function.
+    """
     known = id_and_text(docs).where("doc_id IS NOT NULL")
-    lines = known.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words_of"))
-    split = lines.select(
-        "doc_id", "line", F.filter(F.split("words_of", SPACE + "+"), lambda w: w != "").alias("words")
-    ).where(F.size("words") >= WORDS)
-    return split.select("doc_id", "line", _tokens("words").alias("tokens"))
+    lines = known.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "words_of"))
+    return lines.select("doc_id", "line", _words("words_of").alias("words")).select(
+        "doc_id", "line", _tokens("words").alias("tokens")
+    )
+
+
+def _words(line: str) -> Column:
+    return F.filter(F.split(line, SPACE + "+"), lambda w: w != "")
 
 
 def _tokens(words: str) -> Column:
     window = ", ".join(f"{words}[i + {k}]" for k in range(WORDS))
-    return F.expr(f"array_distinct(transform(sequence(0, size({words}) - {WORDS}), i -> xxhash64({window})))")
+    return F.expr(
+        f"CASE WHEN size({words}) < {WORDS} THEN cast(array() AS array<bigint>) ELSE "
+        f"array_distinct(transform(sequence(0, size({words}) - {WORDS}), i -> xxhash64({window}))) END"
+    )
 
 
 def rarity(lines: DataFrame) -> bytes:
     """One byte for each cell of the token space: the logarithm of its tokens in all lines."""
     cell = F.pmod(F.col("t"), F.lit(BUCKETS)).cast("int").alias("cell")
-    counts = lines.select(F.explode("tokens").alias("t")).groupBy(cell).count().collect()  # BUCKETS rows
+    tokens = lines.select(F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
+    counts = tokens.groupBy(cell).count().collect()  # BUCKETS rows
     out = bytearray(b"A" * BUCKETS)
     for row in counts:
         out[row["cell"]] = ord("A") + int(log2(row["count"]))
@@ -61,7 +72,7 @@ def prefixes(lines: DataFrame, rare: bytes) -> DataFrame:
         ).alias("ranked"),
     ).select("doc_id", "line", F.col("ranked.t").alias("sorted"), F.size("ranked").alias("n"))
     some = F.expr(f"slice(sorted, 1, n - cast(ceil({SHARE_OF} * n / 10D) AS int) + 1)")
-    spread = ordered.select("doc_id", "line", "n", F.xxhash64("sorted").alias("c"), F.posexplode(some).alias("k", "t"))
+    spread = ordered.select("doc_id", "line", "n", F.xxhash64("sorted").alias("c"), F.posexplode_outer(some).alias("k", "t")).where("t IS NOT NULL")
     first = F.when(F.col("k") == 0, F.col("c")).alias("c")
     return spread.select("t", "doc_id", "line", "n", (F.col("k") + 1).alias("pos"), first)
 
@@ -111,10 +122,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     wanted = shared.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     kept = id_and_text(docs).join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
-    chosen = kept.select("doc_id", "lines", F.explode("wanted").alias("line")).select(
-        "doc_id", "line",
-        F.filter(F.split(F.coalesce(F.get("lines", F.col("line")), F.lit("")), SPACE + "+"), lambda w: w != "").alias("words"),
-    ).where(F.size("words") >= WORDS)
+    chosen = kept.select("doc_id", "lines", F.explode_outer("wanted").alias("line")).select(
+        "doc_id", "line", F.coalesce(F.get("lines", F.col("line")), F.lit("")).alias("words_of")
+    ).select("doc_id", "line", _words("words_of").alias("words"))
     tokens = written(chosen.select("doc_id", "line", _tokens("words").alias("tokens")), "line-tokens")
 
     found = written(_verified(pairs, tokens), "line-found")
