@@ -59,16 +59,19 @@ def measured(docs: DataFrame) -> DataFrame:
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         _list_of(F.col("lang")).alias("common"),
     )
-    chars = F.char_length("text")
-    counted = split.select(
+    # what is left of a text without its small letters is short, and holds all other classes
+    left = split.withColumn("rest", F.regexp_replace("text", r"[\p{Ll}\p{Lo}]+", ""))
+    count = lambda pattern: F.regexp_count("rest", F.lit(pattern)).cast("long")
+    spaces = F.char_length("rest") - F.char_length(F.regexp_replace("rest", SPACE + "+", ""))
+    counted = left.select(
         "doc_id", "lang",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        chars.cast("long").alias("chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit(r"\p{Nd}")).cast("long").alias("n_digits"),
-        F.regexp_count("text", F.lit(r"[\p{P}&&[^#*%&]]")).cast("long").alias("n_marks"),
+        (F.char_length("text") - spaces).cast("long").alias("word_chars"),
+        spaces.cast("long").alias("n_spaces"),
+        count(SYMBOLS).alias("n_symbols"),
+        count(r"\p{Lu}").alias("n_upper"),
+        count(r"\p{Nd}").alias("n_digits"),
+        count(r"[\p{P}&&[^#*%&]]").alias("n_marks"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(
             f"CASE WHEN size(words) < {WINDOW} THEN cast(array() AS array<bigint>) ELSE "
@@ -76,20 +79,24 @@ def measured(docs: DataFrame) -> DataFrame:
             + ", ".join(f"words[i + {k}]" for k in range(WINDOW))
             + ")) END"
         ).alias("windows"),
-        F.expr("filter(transform(words, w -> array_position(common, lower(w))), p -> p > 0)").alias("places"),
+        F.transform(
+            F.filter("words", lambda w: w.isin(*sorted({w for some in COMMON.values() for w in some}))),
+            lambda w: F.array_position("common", w),
+        ).alias("found"),
     )
+    counted = counted.withColumn("places", F.array_remove("found", 0)).drop("found")
     # sorted windows with their places, only where some window is met twice
     placed = counted.withColumn(
         "sorted",
         F.expr(
             "CASE WHEN size(array_distinct(windows)) = size(windows) THEN NULL "
-            "ELSE array_sort(transform(windows, (h, i) -> struct(h AS h, i AS i))) END"
+            "ELSE sort_array(transform(windows, (h, i) -> struct(h AS h, i AS i))) END"
         ),
     ).drop("windows")
     twice = placed.withColumn(
         "twice",
         F.expr(
-            "array_sort(transform(filter(transform(sorted, (x, k) -> struct(x.i AS i, "
+            "sort_array(transform(filter(transform(sorted, (x, k) -> struct(x.i AS i, "
             "x.h <=> get(sorted, k - 1).h OR x.h <=> get(sorted, k + 1).h AS again)), x -> x.again), x -> x.i))"
         ),
     ).drop("sorted")
@@ -101,7 +108,7 @@ def measured(docs: DataFrame) -> DataFrame:
             f"a.n + i + {WINDOW} - greatest(a.upto, cast(i AS bigint)) AS n, cast(i + {WINDOW} AS bigint) AS upto), a -> a.n), 0L)"
         ).alias("n_repeat_words"),
         F.array(
-            "n_upper", "n_digits", "n_marks", "n_symbols", F.col("chars") - F.col("word_chars"),
+            "n_upper", "n_digits", "n_marks", "n_symbols", "n_spaces",
             F.greatest(F.lit(0).cast("long"), F.col("word_chars") - F.col("n_upper") - F.col("n_digits") - F.col("n_marks") - F.col("n_symbols")),
         ).alias("char_hist"),
         F.expr(
