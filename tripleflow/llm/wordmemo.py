@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -47,13 +48,14 @@ class WordMemo:
     ``limit``: entries of each memo; a full memo starts anew, which costs time only.
     """
 
-    def __init__(self, path: str, kind: str, limit: int = 150_000):
+    def __init__(self, path: str, kind: str, limit: int = 450_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.kind, self.limit = self.tokenizer.model, kind, limit
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         classes = {"{L}": _of_category("L"), "{N}": _of_category("N")}
         self.words = re.compile(re.sub(r"\{[LN]\}", lambda m: classes[m[0]], PATTERNS[kind])).findall
         self.letters = _byte_letters()
@@ -71,7 +73,7 @@ class WordMemo:
         shown = word.translate(self.letters) if word.isascii() else "".join(
             [self.letters[b] for b in word.encode()]
         )
-        ids = np.array([t.id for t in self.model.tokenize(shown)], self.type).tobytes()
+        ids = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(self.of_word) >= self.limit:
             self.of_word.clear()
         self.of_word[word] = ids
