@@ -113,12 +113,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         table.join(several, "t").select("t", "doc_id", "line", "n", "pos").join(copies, ["doc_id", "line"], "left_anti"),
         "line-shared",
     )
-    first = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("y"), F.count(F.lit(1)).alias("m"))
     row = F.struct("doc_id", "line", "n", "pos").alias("x")
     to_place = lambda s: F.struct(f"{s}.doc_id", f"{s}.line").alias(s)
     later = F.expr("struct(y.doc_id, y.line) < struct(x.doc_id, x.line)")
+
+    # first round: of the earliest lines of its tokens, each line takes the one it meets most
+    first = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("y"), F.count(F.lit(1)).alias("m"))
     near = shared.select("t", row).join(first.where("m > 1"), "t").where(later & _passes("x", "y"))
-    pairs = written(near.select(to_place("x"), to_place("y")).distinct(), "line-pairs")
+    met = near.groupBy(to_place("x"), to_place("y")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = met.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
 
     wanted = shared.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
     kept = id_and_text(docs).join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
@@ -128,13 +131,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     tokens = written(chosen.select("doc_id", "line", _tokens("words").alias("tokens")), "line-tokens")
 
     found = written(_verified(pairs, tokens), "line-found")
-    open_ = shared.join(first.where("m > 2").select("t", F.col("y").alias("least")), "t")
-    left = open_.join(found, ["doc_id", "line"], "left_anti").select("t", row)
-    others = open_.where("struct(doc_id, line) <> struct(least.doc_id, least.line)").select(
-        "t", F.struct("doc_id", "line", "n", "pos").alias("y")
-    )
-    rest = left.join(others, "t").where(later & _passes("x", "y")).select(to_place("x"), to_place("y"))
-    again = _verified(rest.distinct(), tokens)
+
+    # second round: what is left against all lines of its tokens; all shared prefix tokens are
+    # counted, so no more than those and the tokens after the last of them can be shared
+    left = shared.join(found, ["doc_id", "line"], "left_anti").select("t", row)
+    others = shared.select("t", F.struct("doc_id", "line", "n", "pos").alias("y"))
+    rest = left.join(others, "t").where(later & _passes("x", "y")).groupBy(
+        to_place("x"), to_place("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")
+    ).agg(F.count(F.lit(1)).alias("k"), F.max("x.pos").alias("px"), F.max("y.pos").alias("py"))
+    enough = F.expr(f"{10 + SHARE_OF} * (k + least(nx - px, ny - py)) >= {SHARE_OF} * (nx + ny)")
+    again = _verified(rest.where(enough).select("x", "y"), tokens)
     return copies.unionByName(found).unionByName(again).distinct()
 
 
