@@ -4,7 +4,7 @@ One record holds one document.  Layout, all numbers little-endian:
 
     length of the payload   8 bytes
     masked crc32 of these   4 bytes
-    payload                 doc_id 8, bytes per id 1, number of ids 4, then the ids
+    payload                 doc_id 8, whether it is known 1, bytes per id 1, number of ids 4, then the ids
     masked crc32 of it      4 bytes
     line feed               1 byte
 
@@ -30,7 +30,7 @@ from tripleflow.llm.wordmemo import WordMemo
 from tripleflow.sources.workdir import fresh_folder
 
 HEAD = struct.Struct("<QI")
-ITEM = struct.Struct("<qBI")
+ITEM = struct.Struct("<q?BI")
 FOOT = struct.Struct("<I")
 RECORD = "doc_id long, record_offset long, record_bytes long, n_tokens long, ids binary, file string"
 
@@ -40,14 +40,14 @@ def masked(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: bytes, width: int) -> bytes:
+def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     """One record, without the line feed that the writer adds."""
-    payload = ITEM.pack(doc_id, width, len(ids) // width) + ids
+    payload = ITEM.pack(doc_id or 0, doc_id is not None, width, len(ids) // width) + ids
     length = struct.pack("<Q", len(payload))
     return length + FOOT.pack(masked(length)) + payload + FOOT.pack(masked(payload))
 
 
-def parse(content: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+def parse(content: bytes) -> Iterator[tuple[int | None, int, int, int, bytes]]:
     """``(doc_id, offset, bytes, bytes per id, ids)`` of each record of a file.
 
     Raises ``ValueError`` where a length or a payload disagrees with its checksum.
@@ -61,9 +61,9 @@ def parse(content: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
         payload = bytes(view[at + HEAD.size : end])
         if masked(payload) != FOOT.unpack_from(content, end)[0]:
             raise ValueError(f"damaged record at byte {at}")
-        doc_id, width, n = ITEM.unpack_from(payload)
+        doc_id, known, width, n = ITEM.unpack_from(payload)
         size = HEAD.size + length + FOOT.size + 1
-        yield doc_id, at, size, width, payload[ITEM.size : ITEM.size + n * width]
+        yield doc_id if known else None, at, size, width, payload[ITEM.size : ITEM.size + n * width]
         at += size
 
 
@@ -73,8 +73,8 @@ def write_token_files(
     """Encode whole texts and write them under ``folder`` in ascending ``doc_id`` order.
 
     File names sort in document order.  Null texts are empty and hold the end id alone;
-    documents without an id cannot be located and are refused by an error; rows with equal
-    ids follow each other by text.  No documents: no file with content.
+    documents without an id come before all others; rows with equal ids, or none, follow
+    each other by text.  No documents: no file with content.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +82,6 @@ def write_token_files(
         end, width = np.array([end_id], memo.type).tobytes(), memo.type.itemsize
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            if None in doc_ids:
-                raise ValueError("a document has no doc_id")
             ids = memo.ids(batch.column(1).to_pylist())
             records = [frame(d, i + end, width) for d, i in zip(doc_ids, ids, strict=True)]
             for k in range(0, len(records), 1000):
