@@ -40,20 +40,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: str) -> Column:
-    return F.filter(F.split(line, SPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(line, SPACE + "+"), "")
 
 
 def _tokens(words: str) -> Column:
-    window = ", ".join(f"{words}[i + {k}]" for k in range(WORDS))
     return F.expr(
-        f"CASE WHEN size({words}) < {WORDS} THEN cast(array() AS array<bigint>) ELSE "
-        f"array_distinct(transform(sequence(0, size({words}) - {WORDS}), i -> xxhash64({window}))) END"
+        f"CASE WHEN size({words}) < {WORDS} THEN cast(array() AS array<bigint>) ELSE array_distinct("
+        f"transform(sequence(1, size({words}) - {WORDS - 1}), i -> xxhash64(slice({words}, i, {WORDS})))) END"
     )
 
 
 def rarity(lines: DataFrame) -> bytes:
     """One byte for each cell of the token space: the logarithm of its tokens in all lines."""
-    cell = F.pmod(F.col("t"), F.lit(BUCKETS)).cast("int").alias("cell")
+    cell = F.col("t").bitwiseAND(BUCKETS - 1).cast("int").alias("cell")
     tokens = lines.select(F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
     counts = tokens.groupBy(cell).count().collect()  # BUCKETS rows
     out = bytearray(b"A" * BUCKETS)
@@ -63,14 +62,16 @@ def rarity(lines: DataFrame) -> bytes:
 
 
 def prefixes(lines: DataFrame, rare: bytes) -> DataFrame:
-    """``t, doc_id, line, n, pos, c``: prefix tokens; ``c`` is the class, on the first only."""
-    cell = f"cast(pmod(t, {BUCKETS}) AS int) + 1"
+    """``t, doc_id, line, n, pos, c``: prefix tokens; ``c`` is the class, on the first only.
+
+    A token's rarity stands above 56 bits of its hash in one long, so that tokens sort as
+    numbers.  Tokens that agree in these bits and in rarity only make a candidate more.
+    """
+    cell = f"cast(t & {BUCKETS - 1} AS int) + 1"
+    rank = f"shiftleft(cast(ascii(cast(substring(X'{rare.hex()}', {cell}, 1) AS string)) AS bigint), 56)"
     ordered = lines.select(
-        "doc_id", "line",
-        F.expr(
-            f"array_sort(transform(tokens, t -> struct(ascii(cast(substring(X'{rare.hex()}', {cell}, 1) AS string)) AS r, t AS t)))"
-        ).alias("ranked"),
-    ).select("doc_id", "line", F.col("ranked.t").alias("sorted"), F.size("ranked").alias("n"))
+        "doc_id", "line", F.expr(f"sort_array(transform(tokens, t -> {rank} | (t & {(1 << 56) - 1})))").alias("sorted")
+    ).select("doc_id", "line", "sorted", F.size("sorted").alias("n"))
     some = F.expr(f"slice(sorted, 1, n - cast(ceil({SHARE_OF} * n / 10D) AS int) + 1)")
     spread = ordered.select("doc_id", "line", "n", F.xxhash64("sorted").alias("c"), F.posexplode_outer(some).alias("k", "t")).where("t IS NOT NULL")
     first = F.when(F.col("k") == 0, F.col("c")).alias("c")
