@@ -87,3 +87,21 @@ def test_first_and_last(spark, rows):
     )
     marked = F.col("line").startswith("m")
     assert rows(first_and_last(df, "file", "pos", marked, marked)) == [("f", "m1", "m2"), ("g", None, None)]
+
+
+@pytest.mark.parametrize("df", [10.0**k for k in range(3, 14)])
+@pytest.mark.parametrize("f", [0.01, 0.5, 3.0, 20.0])
+def test_p_of_three_groups_keeps_its_digits(df, f):
+    """With two degrees of freedom between groups the tail has a closed form."""
+    exact = math.exp(-df / 2 * math.log1p(2 * f / df))
+    assert f_upper_tail(f, 2, df) == pytest.approx(exact, rel=1e-9, abs=1e-12)
+
+
+def test_numbers_are_plain_decimals(spark):
+    texts = ["12", "12d", "3f", "0x1p3", " 7.5 ", "1_000", "_1", "1e3", ".5", "5.", "nan", "-inf", "", None, "1.2.3"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r.i: r.x for r in rows.select("i", number_or_null(F.col("t")).alias("x")).collect()}
+    assert math.isnan(found.pop(10))
+    assert [found[i] for i in sorted(found)] == [
+        12.0, None, None, None, 7.5, 1000.0, None, 1000.0, 0.5, 5.0, -math.inf, None, None, None
+    ]

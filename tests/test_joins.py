@@ -209,3 +209,45 @@ def test_count_plan_has_no_row_blow_up(universe):
     plan = count_bgp(universe, patterns(["?u_foo_?x", "?u_bar_?y"]), ["u"])._jdf.queryExecution().optimizedPlan().toString()
     below_join = plan[plan.index("Join"):]
     assert below_join.count("Aggregate") == 2
+
+
+def _few(spark):
+    return spark.createDataFrame(
+        [("A", "foo", "1"), ("1", "baz", "B"), ("1", "baz", "A"), ("A", "bar", "2"), ("C", "bar", "3")],
+        "subj string, pred string, obj string",
+    )
+
+
+@pytest.mark.parametrize("plan", [bgp, bgp_grouped])
+@pytest.mark.parametrize(
+    "query, names, rows",
+    [
+        ("?a_foo_?A^?A_baz_?x", {"a": "low", "A": "up"}, {("A", "1", "B"), ("A", "1", "A")}),
+        (["?_m|foo|?b".split("|"), "?_m|bar|?c".split("|")], None, {("A", "1", "2")}),
+        (["?_w|foo|?x.y".split("|"), "?_w|bar|?_copies".split("|")], None, {("A", "1", "2")}),
+        ("?rows_foo_?v1^?rows_bar_?v0", None, {("A", "1", "2")}),
+    ],
+)
+def test_any_variable_name(spark, plan, query, names, rows):
+    found = plan(_few(spark), patterns(query), names=names)
+    assert {tuple(r) for r in found.collect()} == rows
+    assert found.count() == len(rows)
+
+
+def test_counts_by_any_name(spark):
+    query = patterns("?a_foo_?A^?A_baz_?x")
+    assert [tuple(r) for r in count_bgp(_few(spark), query, by=["A"]).collect()] == [("1", 2)]
+    named = count_bgp(_few(spark), patterns("?rows_bar_?x"), by=["rows"], names={"rows": "who"})
+    assert {tuple(r) for r in named.collect()} == {("A", 1), ("C", 1)}
+    with pytest.raises(ValueError, match="rows"):
+        count_bgp(_few(spark), patterns("?rows_bar_?x"), by=["rows"])
+    with pytest.raises(ValueError, match="tell apart"):
+        bgp(_few(spark), query)
+
+
+def test_counting_by_parts_that_share_nothing_needs_leave(spark):
+    query = patterns("?a_foo_?b^?c_bar_?d")
+    with pytest.raises(ValueError, match="allow_cross"):
+        count_bgp(_few(spark), query, by=["a", "c"])
+    found = count_bgp(_few(spark), query, by=["a", "c"], allow_cross=True)
+    assert {tuple(r) for r in found.collect()} == {("A", "A", 1), ("A", "C", 1)}

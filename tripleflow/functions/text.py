@@ -24,11 +24,17 @@ def tokens(line: Column, delim: str) -> Column:
 
 def leading_number(line: Column) -> Column:
     """The first space-separated token as a number; NULL when it is not one."""
-    return F.split(line, " ").getItem(0).try_cast("double")
+    return number_or_null(F.split(line, " ").getItem(0))
+
+
+# What reads as a number: decimal digits, perhaps grouped by underscores, or a name of no number.
+_NUMBER = r"(?i)^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?(e[+-]?\d+)?|\.\d+(_\d+)*(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
 def number_or_null(text: Column) -> Column:
-    return text.try_cast("double")
+    """Text as a double.  A plain cast would also take suffixes (``12d``) and hexadecimals."""
+    plain = F.regexp_replace(F.trim(text), "_", "")
+    return F.when(F.regexp_like(text, F.lit(_NUMBER)), plain.try_cast("double"))
 
 
 def merge_bindings(left: Column, right: Column) -> Column:

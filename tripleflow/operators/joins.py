@@ -93,6 +93,9 @@ def natural_join(
     shared = shared_columns(left, right)
     if not shared:
         return cross(left, right)
+    every = {*left.columns, *right.columns}
+    if len({c.lower() for c in every}) < len(every):
+        raise ValueError(f"Spark cannot tell columns apart that differ in case only: {sorted(every)}")
     if hot_rows and not (left.isStreaming or right.isStreaming):
         return split_join(left, right, shared, hot_rows)
     right = right.drop(MATCHED)

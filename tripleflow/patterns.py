@@ -118,3 +118,29 @@ def connected_order(var_sets: Sequence[set[str]]) -> list[list[int]]:
             bound |= var_sets[following]
         parts.append(order)
     return parts
+
+
+def numbered(pats: Sequence[Pattern]) -> tuple[list[Pattern], dict[str, str]]:
+    """The patterns with variables named ``v0``, ``v1``, ... and the new name of each old one.
+
+    Plans work on these names: Spark resolves columns without regard to case, and some
+    names, such as those of counts and markers, it uses itself.
+    """
+    new: dict[str, str] = {}
+    for pat in pats:
+        for name in variable_positions(pat):
+            new.setdefault(name, f"v{len(new)}")
+    return [tuple(VAR_MARK + new[var_name(x)] if is_var(x) else x for x in p) for p in pats], new
+
+
+def output_names(wanted: Iterable[str], names: dict[str, str] | None = None) -> dict[str, str]:
+    """Column of each variable in a result: its own name, or the one that ``names`` gives."""
+    out = {v: (names or {}).get(v, v) for v in wanted}
+    known: dict[str, str] = {}
+    for v, column in out.items():
+        other = known.setdefault(column.lower(), v)
+        if other != v:
+            raise ValueError(
+                f"variables {other!r} and {v!r} give columns that Spark cannot tell apart; rename one with names="
+            )
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,6 +14,8 @@ from tripleflow.patterns import (
     Pattern,
     connected_order,
     group_by_shared_vars,
+    numbered,
+    output_names,
     variables,
 )
 
@@ -27,6 +29,22 @@ def _require(pats: Sequence[Pattern]) -> list[Pattern]:
     return pats
 
 
+def _planned(triples: Triples, pats: Sequence[Pattern]) -> tuple[Triples, list[Pattern], dict[str, str]]:
+    """Triples and patterns under the plan's own variable names, and those names."""
+    pats = _require(pats)
+    inner, names = numbered(pats)
+    if not isinstance(triples, DataFrame):
+        triples = {i: triples[p] for i, p in zip(inner, pats, strict=True)}
+    return triples, inner, names
+
+
+def _named(rows: DataFrame, inner: Mapping[str, str], names: dict[str, str] | None) -> DataFrame:
+    """The user's names, given back at the very end."""
+    outer = output_names(inner, names)
+    of = {plan_name: outer[v] for v, plan_name in inner.items()}
+    return rows.select(*[F.col(c).alias(of.get(c, c)) for c in rows.columns])
+
+
 def _assemble(
     triples: Triples,
     pats: Sequence[Pattern],
@@ -52,19 +70,22 @@ def bgp(
     allow_cross: bool = False,
     hot_rows: int | None = None,
     salt: tuple[int, int] | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """All bindings that satisfy every pattern, joined left-deep in written order.
 
     A pattern sharing nothing with those before it waits for a later one that does.
-    ``hot_rows`` and ``salt`` are passed on to `natural_join`.
+    ``hot_rows`` and ``salt`` are passed on to `natural_join`.  Variables are exact
+    strings; ``names`` gives columns of other names, as needed by variables that differ
+    in case only.
     """
-    pats = _require(pats)
+    triples, pats, inner = _planned(triples, pats)
     binding = [p for p in pats if variables(p)]
     parts = [
         multi_join([match(triples, binding[i]) for i in order], hot_rows, salt)
         for order in connected_order([variables(p) for p in binding])
     ]
-    return _assemble(triples, pats, parts, allow_cross)
+    return _named(_assemble(triples, pats, parts, allow_cross), inner, names)
 
 
 def bgp_grouped(
@@ -73,9 +94,10 @@ def bgp_grouped(
     allow_cross: bool = False,
     hot_rows: int | None = None,
     salt: tuple[int, int] | None = None,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """The rows of `bgp` from a bushy plan: each group of patterns first, then the groups."""
-    pats = _require(pats)
+    triples, pats, inner = _planned(triples, pats)
     binding = [p for p in pats if variables(p)]
     groups = group_by_shared_vars(binding) if binding else []
     joined = [
@@ -87,7 +109,7 @@ def bgp_grouped(
         multi_join([joined[g] for g in order], hot_rows, salt)
         for order in connected_order(bound)
     ]
-    return _assemble(triples, pats, parts, allow_cross)
+    return _named(_assemble(triples, pats, parts, allow_cross), inner, names)
 
 
 def count_bgp(
@@ -95,31 +117,45 @@ def count_bgp(
     pats: Sequence[Pattern],
     by: Sequence[str] = (),
     eager: str = "patterns",
+    allow_cross: bool = False,
+    names: dict[str, str] | None = None,
 ) -> DataFrame:
     """How many rows `bgp` has, in total or per value of the variables in ``by``: ``rows``.
 
     No row is built that is only going to be counted.  A variable that appears in
     one pattern alone and not in ``by`` is counted away in that pattern, before any
     shuffle, so a hot key enters a join as one row with a weight.  Parts that share
-    no variable are counted apart and their numbers multiplied.  ``eager="joins"``
+    no variable are counted apart and their numbers multiplied; grouped by variables of
+    several such parts the result is a product and needs ``allow_cross``.  ``eager="joins"``
     also sums after each join that used a variable for the last time; this pays
-    when few distinct values remain, and costs a shuffle otherwise.
+    when few distinct values remain, and costs a shuffle otherwise.  A variable called
+    ``rows`` needs another name in ``names``.
     """
     if eager not in ("patterns", "joins"):
         raise ValueError(f"unknown mode {eager!r}")
-    pats = _require(pats)
-    wanted = list(by)
-    binding = [p for p in pats if variables(p)]
-    unknown = set(wanted) - set().union(*(variables(p) for p in binding), set())
+    triples, pats, inner = _planned(triples, pats)
+    unknown = set(by) - set(inner)
     if unknown:
         raise ValueError(f"no pattern binds {sorted(unknown)}")
+    outer = output_names(by, names)
+    if any(column.lower() == "rows" for column in outer.values()):
+        raise ValueError("a column 'rows' holds the counts; rename the variable with names=")
+    wanted = [inner[v] for v in outer]
+    binding = [p for p in pats if variables(p)]
 
     totals = [
         match(triples, p).agg(F.count(F.lit(1)).alias(WEIGHT)) for p in pats if not variables(p)
     ]
+    grouped_parts = 0
     for order in connected_order([variables(p) for p in binding]):
         own = [c for c in wanted if any(c in variables(binding[i]) for i in order)]
         totals.append(_count_part(triples, [binding[i] for i in order], own, eager))
+        grouped_parts += bool(own)
+    if grouped_parts > 1 and not allow_cross:
+        raise ValueError(
+            "the variables to group by stand in parts that share none, so the result is a "
+            "product; pass allow_cross=True to build it"
+        )
 
     def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
         # All but the frames grouped by a wanted variable have exactly one row.
@@ -129,7 +165,8 @@ def count_bgp(
     result = reduce(multiply, totals).withColumnRenamed(WEIGHT, "rows")
     if wanted:
         result = result.where(F.col("rows") > 0)
-    return result.select(*wanted, "rows")
+    columns = [F.col(inner[v]).alias(column) for v, column in outer.items()]
+    return result.select(*columns, "rows")
 
 
 def _count_part(

@@ -9,8 +9,18 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tripleflow-")
+    """The cluster's checkpoint folder.
+
+    Only a session in one process, as in tests, may do without the setting and gets a
+    folder of its own; elsewhere each executor would write to its own disk.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tripleflow-")
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:

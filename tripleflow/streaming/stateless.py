@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripleflow.operators.joins import CELLS, bound_within, shared_columns, spread
 from tripleflow.operators.match import MATCHED, match, match_each
-from tripleflow.patterns import Pattern
+from tripleflow.patterns import Pattern, numbered, output_names
 from tripleflow.plans.bgp import bgp
 
 stream_match = match
@@ -38,6 +38,8 @@ def stream_bgp(
         return bgp(triples, pats, allow_cross=allow_cross, salt=salt)
     if max_gap is None:
         raise ValueError("event_time needs max_gap")
+    pats, inner = numbered(pats)
+    outer = output_names([*inner, event_time])
     timed = triples.withWatermark(event_time, max_gap) if triples.isStreaming else triples
     acc = match(timed, pats[0], keep=[event_time]).drop(MATCHED)
     for i, pat in enumerate(pats[1:], start=1):
@@ -54,7 +56,8 @@ def stream_bgp(
         for c in shared:
             condition = condition & (acc[c] == renamed["_r_" + c])
         acc = acc.join(renamed, condition).drop("_t", *CELLS, *["_r_" + c for c in shared])
-    return acc
+    user = {plan_name: outer[v] for v, plan_name in inner.items()}
+    return acc.select(*[F.col(f"`{c}`").alias(user.get(c, c)) for c in acc.columns])
 
 
 def stream_counts(tagged: DataFrame, by: str = "pattern_id") -> DataFrame:
