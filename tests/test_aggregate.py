@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tripleflow.functions.stats import f_upper_tail
+from tripleflow.functions.text import number_or_null
 from tripleflow.operators.aggregate import (
     anova_oneway,
     first_and_last,

@@ -5,12 +5,19 @@ from __future__ import annotations
 import math
 from itertools import count
 
+# The continued fraction converges in about sqrt(max(a, b)) steps at worst.
+_MOST_STEPS = 100_000_000
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz method)."""
+
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Continued fraction of the incomplete beta function (modified Lentz method).
+
+    ``y`` is 1 - x.  The first denominator, 1 - (a + b) x / (a + 1), is written with the
+    smaller of the two, as it would cancel for x next to 1 and large ``a``.
+    """
     tiny = 1e-300
     c = 1.0
-    d = 1.0 - (a + b) * x / (a + 1.0)
+    d = 1.0 - (a + b) * x / (a + 1.0) if x < y else (1.0 - b + (a + b) * y) / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     value = d
     for m in count(1):
@@ -25,8 +32,9 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             value *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return value
+            return value
+        if m == _MOST_STEPS:
+            raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
 
 
 def _stirling_rest(z: float) -> float:
@@ -69,8 +77,8 @@ def incomplete_beta(a: float, b: float, x: float, y: float | None = None) -> flo
         - _deviance(a, n * x, gap) - _deviance(b, n * y, -gap)
     )
     if x < (a + 1.0) / (n + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, y) / b
+        return front * _beta_fraction(a, b, x, y) / a
+    return 1.0 - front * _beta_fraction(b, a, y, x) / b
 
 
 def f_upper_tail(f: float, df_between: float, df_within: float) -> float:

@@ -39,10 +39,10 @@ def _planned(triples: Triples, pats: Sequence[Pattern]) -> tuple[Triples, list[P
 
 
 def _named(rows: DataFrame, inner: Mapping[str, str], names: dict[str, str] | None) -> DataFrame:
-    """The user's names, given back at the very end."""
+    """The user's names, given back at the very end, in the order in which they are written."""
     outer = output_names(inner, names)
-    of = {plan_name: outer[v] for v, plan_name in inner.items()}
-    return rows.select(*[F.col(c).alias(of.get(c, c)) for c in rows.columns])
+    others = [c for c in rows.columns if c not in inner.values()]
+    return rows.select(*[F.col(c).alias(outer[v]) for v, c in inner.items()], *others)
 
 
 def _assemble(
