@@ -1,4 +1,4 @@
-"""Operators for preparing training text: ten operators, their queries and nothing else.
+"""Operators for preparing training text: operators, their queries and nothing else.
 
 Nothing outside this package imports it.
 """

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters."""
+"""The registered queries of the operators, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleflow.llm import (
+    chat_format,
     exact_dedup,
     html_extract,
     line_dedup,
     packing,
     quality,
+    resampling,
     sentencepiece_codec,
     simhash,
+    spelling,
     suffix_dedup,
     token_files,
     toxicity,
@@ -76,6 +79,18 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, folder))
+
+
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.round_trip_digests(chat_format.with_probe(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
@@ -87,5 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_files": op10_token_files,
+    "op11_resampling": op11_resampling,
+    "op12_spelling": op12_spelling,
+    "op13_chat_format": op13_chat_format,
+}
+SQL = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op11_resampling": resampling.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }
-SQL = {"op2_exact_dedup": exact_dedup.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
