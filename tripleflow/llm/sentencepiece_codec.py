@@ -1,22 +1,26 @@
 """Encoding and decoding with a merge-type (BPE) sentencepiece vocabulary.
 
 A chunk is a run of space marks with the text up to the next one.  If no piece of the
-vocabulary has a mark after other text, merges never cross chunks, and a chunk is encoded
-by itself: an agenda holds all adjacent symbol pairs whose concatenation is a piece,
-ordered by score and place; the best is merged, its neighbours make new pairs, and what is
-left without a piece falls back to bytes.  Chunks are remembered, and every chunk that
-enters the memory is checked against the sentencepiece library, an Arrow batch's new
-chunks at a time.  If one differs, the library's own encoding takes over.
+vocabulary has a mark after other text, merges never cross chunks.  If no piece joins
+Latin letters with other characters either, they never cross the border between the two, and a
+chunk is encoded by parts: an agenda holds all adjacent symbol pairs whose concatenation is a
+piece, ordered by score and place; the best is merged, its neighbours make new pairs, and
+what is left without a piece falls back to bytes.  Both properties are looked up in the
+vocabulary when it is loaded.  Chunks and parts are remembered, and every chunk that enters
+the memory is checked against the sentencepiece library, a slice's new chunks at a time.  If
+one differs, the library's own encoding takes over.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -24,12 +28,38 @@ from tripleflow.llm.common import id_and_text, per_worker
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+# Latin letters, and all else but the mark.
+LETTERS = "[A-Za-zÀ-ɏ]"
+OTHERS = f"[^A-Za-zÀ-ɏ{MARK}]"
+PART = re.compile(f"{MARK}*{LETTERS}+|{MARK}*{OTHERS}+|{MARK}+")
+CROSSING = re.compile(f"{LETTERS}{OTHERS}|{OTHERS}{LETTERS}")
+
+
+class Memory(dict):
+    """What ``make`` gives for each key.  A full generation becomes the old one; entries used
+    again move back from it, so common keys outlive rare ones."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
 
 
 class MergeCodec:
-    """``limit``: chunks remembered; a full memory starts anew, which costs time only."""
+    """``limit``: chunks, and parts, in a generation of the memory; it costs time only."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from sentencepiece import SentencePieceProcessor
 
         self.library = sp = SentencePieceProcessor(model_file=path)
@@ -40,63 +70,74 @@ class MergeCodec:
         order = {s: n for n, s in enumerate(scores)}
         self.id_of = pieces
         self.rank_of = {p: order[sp.get_score(i)] for p, i in pieces.items() if len(p) > 1}
+        self.code = "H" if len(ids) <= 1 << 16 else "I"
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.exact = not any(MARK in p.lstrip(MARK) for p in pieces) and not any(map(sp.is_unused, ids))
-        self.known: dict[str, list[int]] = {}
-        self.limit = limit
-
-    def merged(self, chunk: str) -> list[int]:
-        """Ids of one chunk, by the agenda."""
+        self.apart = not any(CROSSING.search(p) for p in pieces)
+        self.parts = Memory(self.merged, limit)
+        self.known = Memory(self._chunk, limit)
+        self.new: list[str] = []
+
+    def merged(self, chunk: str) -> bytes:
+        """Ids of one chunk or part, by the agenda.
+
+        An agenda entry is a pair's rank and the place of its left symbol in one number, so the
+        best score comes first, and of equal ones the leftmost.  ``pair_rank`` is the rank of the
+        pair that now begins at a place; an entry of another rank is out of date.
+        """
         rank, n = self.rank_of.get, len(chunk)
         symbols, after, before = list(chunk), list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = chunk[i : i + 2]
-            r = rank(pair)
-            if r is not None:
-                agenda.append((r, i, i + 1, pair))
+        pair_rank = [rank(chunk[i : i + 2], -1) for i in range(n - 1)]
+        pair_rank.append(-1)
+        agenda = [r * n + i for i, r in enumerate(pair_rank) if r >= 0]
         heapify(agenda)
         while agenda:
-            _, i, j, pair = heappop(agenda)
-            if after[i] != j or symbols[i] + symbols[j] != pair:
-                continue  # one of the two has been merged since
+            r, i = divmod(heappop(agenda), n)
+            if pair_rank[i] != r:
+                continue
+            j = after[i]
             k, h = after[j], before[i]
-            symbols[i], symbols[j], after[i], after[j] = pair, "", k, -1
+            pair = symbols[i] = symbols[i] + symbols[j]
+            symbols[j], pair_rank[j], after[i] = "", -1, k
+            r = -1
             if k < n:
                 before[k] = i
-                longer = pair + symbols[k]
-                r = rank(longer)
-                if r is not None:
-                    heappush(agenda, (r, i, k, longer))
+                r = rank(pair + symbols[k], -1)
+                if r >= 0:
+                    heappush(agenda, r * n + i)
+            pair_rank[i] = r
             if h >= 0:
-                longer = symbols[h] + pair
-                r = rank(longer)
-                if r is not None:
-                    heappush(agenda, (r, h, i, longer))
-        ids: list[int] = []
+                r = pair_rank[h] = rank(symbols[h] + pair, -1)
+                if r >= 0:
+                    heappush(agenda, r * n + h)
+        known, ids = self.id_of.get, []
         for symbol in symbols:
             if symbol:
-                known = self.id_of.get(symbol)
-                if known is None:
+                found = known(symbol)
+                if found is None:
                     ids += [self.byte_ids[b] for b in symbol.encode()]
                 else:
-                    ids.append(known)
-        return ids
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(chunks)
-        for c in new:
-            self.known[c] = self.merged(MARK + c)
+                    ids.append(found)
+        return array(self.code, ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not remembered; it is noted for the check."""
+        self.new.append(chunk)
+        if not self.apart:
+            return self.merged(MARK + chunk)
+        return b"".join(map(self.parts.__getitem__, PART.findall(MARK + chunk)))
+
+    def _checked(self) -> bool:
+        """Whether the library gives the same ids for the chunks new since the last check."""
         # the library puts a mark before each text, as chunks have one
-        new = [c for c in new if c]
-        for c, right in zip(new, self.library.encode([c.replace(MARK, " ") for c in new], num_threads=1), strict=True):
-            if self.known[c] != right:
+        new = [c for c in self.new if c]
+        self.new = []
+        right = self.library.encode([c.replace(MARK, " ") for c in new], num_threads=1)
+        for c, ids in zip(new, right, strict=True):
+            if self.known[c] != array(self.code, ids).tobytes():
                 print(f"merge codec: {c!r} differs from the library, which takes over", file=sys.stderr)
-                self.exact = False
-                return
+                return False
+        return True
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -110,17 +151,14 @@ class MergeCodec:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.exact:
-            chunked = [self.chunks(t) for t in texts]
-            self._learn(set().union(*chunked))
-        if not self.exact:
-            return self.library.encode(texts, num_threads=1)
-        out = []
-        for chunks in chunked:
-            ids: list[int] = []
-            for found in map(self.known.__getitem__, chunks):
-                ids += found
-            out.append(ids)
-        return out
+            known = self.known.__getitem__
+            out = [np.frombuffer(b"".join(map(known, self.chunks(text))), self.code).tolist() for text in texts]
+            self.exact = self._checked()
+            self.known.turn()
+            self.parts.turn()
+            if self.exact:
+                return out
+        return self.library.encode(texts, num_threads=1)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.library.decode(ids, num_threads=1)
@@ -173,7 +211,10 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, model: str) -> DataFrame:
     """Encode, decode, and keep digests of both: the same work as the two above in one pass.
 
-    ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row per row of ``docs``.  Null texts are
+    empty, and empty texts have no ids; rows without ``doc_id`` and repeated rows stand as they
+    are; whole texts are encoded however long, so a task holds the ids of one of them; an empty
+    table gives no rows, and other columns are not looked at.
     """
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
