@@ -56,7 +56,7 @@ def repeated_lines(docs):
         out[doc_id] = []
         for number, line in enumerate(text.split("\n")):
             words = WORD.findall(line)
-            own = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+            own = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
             shared = collections.Counter(j for s in own for j in where[s])
             if any(10 * k >= 8 * (len(own) + len(earlier[j]) - k) for j, k in shared.items()):
                 out[doc_id].append(number)

@@ -1,81 +1,92 @@
 """Lines that repeat an earlier line, by an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words.  Tokens are ordered by rarity in
-the whole corpus; two lines of Jaccard similarity 0.8 or more then share a token among
-their first n - ceil(0.8 n) + 1 ones (prefix filter).  Candidates must agree in size
-(length filter) and have enough tokens left after the shared one (positional filter); all
-tokens are compared in the end.
-
-DataFrame functions only.  Equal lines are one class before anything is joined.  A line is
-first compared with the earliest line of each of its prefix tokens; only lines that this
-leaves are compared with the others, so a group of like lines does not make all its pairs.
+A line's tokens are its distinct shingles of five words; a line of fewer words has its whole
+word sequence as its one token.  Two lines of Jaccard similarity 0.8 or more share a token
+among their first n - ceil(0.8 n) + 1 ones under any one order of all tokens (prefix
+filter), and k of them among k - 1 more.  That is used twice:
+
+1. All lines are cut into tokens once, and their prefixes taken in the order of the token
+   hashes, which needs no knowledge of the corpus, with k a twelfth of a line's tokens.  A line
+   of whose prefix too few tokens stand in other lines' prefixes has no partner and goes no
+   further; no pair is made.
+2. The tokens of the lines left are counted.  Tokens are ordered by these counts, the rarest
+   first, so a shingle that very many lines hold comes last and makes no candidates.
+   Candidates must agree in size (length filter) and have enough tokens left after the
+   shared one (positional filter); all tokens are compared in the end.
+
+DataFrame functions only.  Lines of equal tokens are one class before anything is joined.  A
+line is first compared with the earliest line of each of its prefix tokens; only lines that
+this leaves are compared with the others, so a group of like lines does not make all its pairs.
 """
 
 from __future__ import annotations
 
-from math import log2
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripleflow.llm.common import SPACE, id_and_text, written
+from tripleflow.llm.common import discard, id_and_text, written
 
 WORDS = 5
 # Similarity of at least SHARE_OF / 10.
 SHARE_OF = 8
-BUCKETS = 1 << 16  # cells in which the rarity of tokens is counted
-
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line, tokens``: distinct 64-bit hashes of shingles, none for short lines.
-
-    Outer generators here and below: for the plain ones Spark infers a filter on the size of
-    their array, which computes the array once more, inside its own lambda function.
-    """
-    known = id_and_text(docs).where("doc_id IS NOT NULL")
-    lines = known.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "words_of"))
-    return lines.select("doc_id", "line", _words("words_of").alias("words")).select(
-        "doc_id", "line", _tokens("words").alias("tokens")
-    )
+_LEAST = f"cast(ceil({SHARE_OF} * n / 10D) AS int)"
+_PREFIX = f"n - {_LEAST} + 1"
+# With one token in so many more in the prefix, as many must be shared; a partner has _LEAST tokens or more.
+MORE = 12
+_LONGER = f"n - {_LEAST} + cast(ceil(n / {MORE}D) AS int)"
+_NEEDED = f"cast(ceil({_LEAST} / {MORE}D) AS int)"
 
 
 def _words(line: str) -> Column:
-    return F.array_remove(F.split(line, SPACE + "+"), "")
+    """The words of a line; white space of other kinds is made a blank only where there is any."""
+    odd = "\t\r\x0b\f"
+    some = " OR ".join(f"contains({line}, chr({ord(c)}))" for c in odd)
+    plain = F.when(F.expr(some), F.translate(line, odd, " " * len(odd))).otherwise(F.col(line))
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def _tokens(words: str) -> Column:
-    return F.expr(
-        f"CASE WHEN size({words}) < {WORDS} THEN cast(array() AS array<bigint>) ELSE array_distinct("
-        f"transform(sequence(1, size({words}) - {WORDS - 1}), i -> xxhash64(slice({words}, i, {WORDS})))) END"
+def _with_tokens(lines: DataFrame) -> DataFrame:
+    """``line_text`` replaced by ``tokens``: distinct 64-bit hashes in ascending order.
+
+    Words are hashed once, shingles are hashes of word hashes.
+    """
+    of_five = ", ".join(f"get(h, i + {k})" for k in range(WORDS))
+    shingles = f"transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({of_five}))"
+    others = [c for c in lines.columns if c != "line_text"]
+    hashed = lines.select(*others, _words("line_text").alias("w")).select(*others, F.expr("transform(w, x -> xxhash64(x))").alias("h"))
+    return hashed.select(
+        *others,
+        F.expr(
+            f"CASE WHEN size(h) >= {WORDS} THEN sort_array(array_distinct({shingles})) "
+            "WHEN size(h) > 0 THEN array(xxhash64(h)) ELSE cast(array() AS array<bigint>) END"
+        ).alias("tokens"),
     )
 
 
-def rarity(lines: DataFrame) -> bytes:
-    """One byte for each cell of the token space: the logarithm of its tokens in all lines."""
-    cell = F.col("t").bitwiseAND(BUCKETS - 1).cast("int").alias("cell")
-    tokens = lines.select(F.explode_outer("tokens").alias("t")).where("t IS NOT NULL")
-    counts = tokens.groupBy(cell).count().collect()  # BUCKETS rows
-    out = bytearray(b"A" * BUCKETS)
-    for row in counts:
-        out[row["cell"]] = ord("A") + int(log2(row["count"]))
-    return bytes(out)
+def _lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line, line_text``.
 
+    An outer generator: for the plain one Spark infers a filter on the size of its array,
+    which splits the text once more.
+    """
+    known = id_and_text(docs).where("doc_id IS NOT NULL")
+    return known.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "line_text"))
 
-def prefixes(lines: DataFrame, rare: bytes) -> DataFrame:
-    """``t, doc_id, line, n, pos, c``: prefix tokens; ``c`` is the class, on the first only.
 
-    A token's rarity stands above 56 bits of its hash in one long, so that tokens sort as
-    numbers.  Tokens that agree in these bits and in rarity only make a candidate more.
+def _met_twice(rows: DataFrame) -> DataFrame:
+    """The rows (``t, doc_id, line, ...``) whose token stands in several, with their number ``m``.
+
+    One shuffle serves both the counting and the join; the filter names the columns that
+    would otherwise be pruned from one of its two uses.  At most one row per line has a given
+    token, so a token's share of the rows is far below its share of the lines.
     """
-    cell = f"cast(t & {BUCKETS - 1} AS int) + 1"
-    rank = f"shiftleft(cast(ascii(cast(substring(X'{rare.hex()}', {cell}, 1) AS string)) AS bigint), 56)"
-    ordered = lines.select(
-        "doc_id", "line", F.expr(f"sort_array(transform(tokens, t -> {rank} | (t & {(1 << 56) - 1})))").alias("sorted")
-    ).select("doc_id", "line", "sorted", F.size("sorted").alias("n"))
-    some = F.expr(f"slice(sorted, 1, n - cast(ceil({SHARE_OF} * n / 10D) AS int) + 1)")
-    spread = ordered.select("doc_id", "line", "n", F.xxhash64("sorted").alias("c"), F.posexplode_outer(some).alias("k", "t")).where("t IS NOT NULL")
-    first = F.when(F.col("k") == 0, F.col("c")).alias("c")
-    return spread.select("t", "doc_id", "line", "n", (F.col("k") + 1).alias("pos"), first)
+    dealt = rows.repartition("t")
+    others = [c for c in rows.columns if c != "t"]
+    used = [F.max(c).alias(f"_{c}") for c in others]
+    counts = dealt.groupBy("t").agg(F.count(F.lit(1)).alias("m"), *used)
+    several = counts.where("m > 1 AND " + " AND ".join(f"_{c} IS NOT NULL" for c in others)).select("t", "m")
+    return dealt.join(several.hint("shuffle_hash"), "t")
 
 
 def _passes(x: str, y: str) -> Column:
@@ -97,23 +108,67 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.where(F.expr(alike)).select("x.doc_id", "x.line").distinct()
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, line``: lines (from 0) with an earlier line of similarity 0.8 or more."""
-    lines = lines_of(docs)
-    table = written(prefixes(lines, rarity(lines)), "line-prefixes")
+def _possible(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, line`` of lines with the tokens of an earlier line, and of the other lines that may have a partner."""
     place = F.struct("doc_id", "line")
-
-    whole = table.where("pos = 1").select("c", "n", "doc_id", "line")
-    classes = whole.groupBy("c", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    cut = _with_tokens(_lines(docs)).select("doc_id", "line", "tokens", F.size("tokens").alias("n"))
+    table = written(
+        cut.select("doc_id", "line", "n", F.xxhash64("tokens").alias("c"), F.expr(f"slice(tokens, 1, {_LONGER})").alias("prefix")),
+        "line-prefixes",
+    )
+    # equal: the hash of all tokens, their number and the smallest token, 128 bits of hash
+    # (filtered here: Spark would push a filter on computed tokens below, and compute them inside their own lambda)
+    keyed = table.where("n > 0").withColumn("t0", F.get("prefix", F.lit(0)))
+    key = ["c", "t0", "n"]
+    first = written(
+        keyed.groupBy(*key).agg(F.min(place).alias("place"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("m")),
+        "line-classes",
+    )
+    repeated = first.where("m > 1").select(*key, "place")
     copies = written(
-        whole.join(classes, ["c", "n"]).where(place != F.col("first")).select("doc_id", "line").distinct(),
+        keyed.select("doc_id", "line", *key).join(repeated, key).where(place != F.col("place")).select("doc_id", "line").distinct(),
         "line-copies",
     )
-    several = table.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("t")
-    shared = written(
-        table.join(several, "t").select("t", "doc_id", "line", "n", "pos").join(copies, ["doc_id", "line"], "left_anti"),
-        "line-shared",
+    discard(table)
+    rows = first.select(
+        F.explode_outer("prefix").alias("t"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"),
+        F.expr(_NEEDED).alias("needed"),
     )
+    met = _met_twice(rows).groupBy("doc_id", "line", "needed").count().where("count >= needed")
+    possible = written(met.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "line-possible")
+    discard(first)
+    return copies, possible
+
+
+def _by_rarity(tokens: DataFrame) -> DataFrame:
+    """``t, doc_id, line, n, pos, alone, prefix``: prefix tokens in the order of their number of lines, those
+    met twice or more; each row has all of its line's, and the number ``alone`` of the others.
+
+    A token of one line makes no candidate; it stands before all others, so the others'
+    places follow from the line's number of them.
+    """
+    rows = tokens.select(F.explode_outer("tokens").alias("t"), "doc_id", "line", F.size("tokens").alias("n"))
+    ranked = _met_twice(rows).groupBy("doc_id", "line", "n").agg(F.sort_array(F.collect_list(F.struct("m", "t"))).alias("met"))
+    alone = F.expr("n - size(met)")
+    prefix = ranked.select(
+        "doc_id", "line", "n", alone.alias("alone"), F.expr(f"slice(met, 1, greatest(0, {_PREFIX} - (n - size(met))))").alias("met")
+    )
+    spread = prefix.select(
+        "doc_id", "line", "n", "alone", F.col("met.t").alias("prefix"), F.posexplode_outer("met.t").alias("k", "t")
+    ).where("t IS NOT NULL")
+    return spread.select("t", "doc_id", "line", "n", (F.col("alone") + F.col("k") + 1).alias("pos"), "alone", "prefix")
+
+
+def repeated_lines(docs: DataFrame) -> DataFrame:
+    """``doc_id, line``: lines (from 0) with an earlier line of similarity 0.8 or more."""
+    copies, possible = _possible(docs)
+    kept = id_and_text(docs).join(possible, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
+    chosen = kept.select("doc_id", "lines", F.explode_outer("wanted").alias("line")).select(
+        "doc_id", "line", F.get("lines", F.col("line")).alias("line_text")
+    )
+    # rows that repeat a doc_id: a line is one place, whatever texts stand there
+    tokens = written(_with_tokens(chosen), "line-tokens")
+    shared = written(_by_rarity(tokens), "line-shared")
     row = F.struct("doc_id", "line", "n", "pos").alias("x")
     to_place = lambda s: F.struct(f"{s}.doc_id", f"{s}.line").alias(s)
     later = F.expr("struct(y.doc_id, y.line) < struct(x.doc_id, x.line)")
@@ -123,25 +178,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     near = shared.select("t", row).join(first.where("m > 1"), "t").where(later & _passes("x", "y"))
     met = near.groupBy(to_place("x"), to_place("y")).agg(F.count(F.lit(1)).alias("k"))
     pairs = met.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-
-    wanted = shared.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_set("line").alias("wanted"))
-    kept = id_and_text(docs).join(wanted, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
-    chosen = kept.select("doc_id", "lines", F.explode_outer("wanted").alias("line")).select(
-        "doc_id", "line", F.coalesce(F.get("lines", F.col("line")), F.lit("")).alias("words_of")
-    ).select("doc_id", "line", _words("words_of").alias("words"))
-    tokens = written(chosen.select("doc_id", "line", _tokens("words").alias("tokens")), "line-tokens")
-
     found = written(_verified(pairs, tokens), "line-found")
 
-    # second round: what is left against all lines of its tokens; all shared prefix tokens are
-    # counted, so no more than those and the tokens after the last of them can be shared
-    left = shared.join(found, ["doc_id", "line"], "left_anti").select("t", row)
-    others = shared.select("t", F.struct("doc_id", "line", "n", "pos").alias("y"))
-    rest = left.join(others, "t").where(later & _passes("x", "y")).groupBy(
-        to_place("x"), to_place("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")
-    ).agg(F.count(F.lit(1)).alias("k"), F.max("x.pos").alias("px"), F.max("y.pos").alias("py"))
-    enough = F.expr(f"{10 + SHARE_OF} * (k + least(nx - px, ny - py)) >= {SHARE_OF} * (nx + ny)")
-    again = _verified(rest.where(enough).select("x", "y"), tokens)
+    # second round: what is left against all lines of its tokens; a pair is made once, at the
+    # first token that both prefixes share, and no more than the shared ones and the tokens after
+    # the last of them can be shared
+    wide = F.struct("doc_id", "line", "n", "pos", "alone", "prefix")
+    left = shared.join(found, ["doc_id", "line"], "left_anti").select("t", wide.alias("x"))
+    others = shared.select("t", wide.alias("y"))
+    both = "array_intersect(x.prefix, y.prefix)"
+    after = lambda s: f"{s}.n - {s}.alone - array_position({s}.prefix, element_at({both}, -1))"
+    enough = F.expr(
+        f"t = get({both}, 0) AND {10 + SHARE_OF} * (size({both}) + least({after('x')}, {after('y')})) >= {SHARE_OF} * (x.n + y.n)"
+    )
+    rest = left.join(others, "t").where(later & _passes("x", "y") & enough)
+    again = _verified(rest.select(to_place("x"), to_place("y")), tokens)
     return copies.unionByName(found).unionByName(again).distinct()
 
 
@@ -149,9 +200,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, removed, text``: one row per row, ``text`` without the lines.
 
     Lines end at line feeds; they are ordered by ``doc_id`` and place.  A line goes if any
-    earlier line, itself removed or not, is similar enough.  Lines of fewer than five words
-    have no shingle and stay, so short texts and headings are left alone.  Null texts are
-    empty.  Rows without ``doc_id`` have no place and stay as they are; rows that repeat a
+    earlier line, itself removed or not, is similar enough; a line of fewer than five words if
+    an earlier one has the same words.  Lines without a word stay.  Null texts are empty.  Rows without ``doc_id`` have no place and stay as they are; rows that repeat a
     ``doc_id`` stand at the same place, lose the same lines, and do not repeat each other.
     """
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
@@ -169,7 +219,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, removed``: what ``dedup_lines`` removes, as text of numbers."""
+    """``doc_id, n_lines, n_removed, removed``: what ``dedup_lines`` removes, as text of numbers.
+
+    One row per row of ``docs``, with the results `dedup_lines` states for nulls, empty and long
+    texts, ties and repeated rows; an empty table gives none, other columns are not looked at.
+    """
     counts = id_and_text(docs).select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     return counts.join(gone, "doc_id", "left").select(
@@ -185,8 +239,9 @@ WITH l AS (
          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line
   FROM documents),
 w AS (SELECT doc_id, line, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM l),
-t AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS t
-      FROM w WHERE len(w) >= 5),
+t AS (SELECT doc_id, line, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS t
+      FROM w WHERE len(w) > 0),
 e AS (SELECT doc_id, line, len(t) AS n, unnest(t) AS t FROM t),
 p AS (SELECT x.doc_id, x.line, x.n AS nx, y.n AS ny, count(*) AS shared
       FROM e x JOIN e y ON x.t = y.t AND (y.doc_id, y.line) < (x.doc_id, x.line)
