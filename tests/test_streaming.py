@@ -1,5 +1,8 @@
 """Every stream operator, over several micro-batches, equals its batch twin."""
 
+import glob
+import os
+import shutil
 from collections import Counter
 
 import pytest
@@ -16,10 +19,13 @@ from tripleflow.sources.lines import read_lines
 from tripleflow.sources.tables import event_triples
 from tripleflow.sources.triples import triple_universe
 from tripleflow.sources.workdir import fresh_folder
+from tripleflow.streaming.fold import Folders, State, bucket_of
 from tripleflow.streaming import (
+    delta_schema,
     read_output,
     run_to_end,
     stream_bgp,
+    stream_bgp_delta,
     stream_bounded_join,
     stream_collect,
     stream_count_table,
@@ -194,3 +200,91 @@ def test_fold_goes_on_after_a_restart(spark, events):
     run_to_end(stream_pair_up(first, "subj", folder))
     got = read_output(first, folder, "subj string, seq bigint")
     assert bag(got, "subj", "seq") == bag(pair_up(events, "subj"), "subj", "seq")
+
+
+def _bucket_files(spark, folder):
+    """Folder of each bucket as the last manifest names it, and what lies there."""
+    last = max(int(p.rsplit("=", 1)[1]) for p in glob.glob(f"{folder}/manifest/batch=*"))
+    schema = spark.createDataFrame([], "subj string").schema
+    state = State.after(spark, Folders(folder), schema, last)
+    return {b: (p, sorted(os.listdir(p))) for b, p in state.files().items()}
+
+
+def test_untouched_buckets_keep_their_files(spark):
+    """Keys come in one batch each; a later batch rewrites its own keys' buckets only."""
+    place, folder = fresh_folder(spark, "source"), fresh_folder(spark, "out")
+    keys = [[f"k{i}" for i in range(40)], ["k0"], ["k1"], ["k1", "new"]]
+    arrivals, seen = [], []
+    for n, batch in enumerate(keys):
+        rows = [(k, 100 * n + i) for i, k in enumerate(batch)]
+        arrivals += rows
+        spark.createDataFrame(rows, "subj string, seq bigint").coalesce(1).write.parquet(f"{place}/{n}")
+        stream = spark.readStream.schema("subj string, seq bigint").option("recursiveFileLookup", "true").parquet(place)
+        run_to_end(stream_pair_up(stream, "subj", folder, buckets=16))
+        seen.append(_bucket_files(spark, folder))
+    bucket = {
+        r.subj: r.b
+        for r in spark.createDataFrame([(k,) for b in keys for k in b], "subj string").select("subj", bucket_of(["subj"], 16).alias("b")).collect()
+    }
+    assert len(seen[0]) > 8
+    for before, after, batch in zip(seen, seen[1:], keys[1:]):
+        touched = {bucket[k] for k in batch}
+        assert {b: f for b, f in before.items() if b not in touched} == {b: f for b, f in after.items() if b not in touched}
+        assert all(before.get(b) != after.get(b) for b in touched)
+    got = read_output(stream, folder, "subj string, seq bigint")
+    assert Counter(map(tuple, got.collect())) == Counter(simulate.pair_up(arrivals))
+
+
+def test_a_repeated_batch_leaves_the_same_result(spark):
+    """Batch 1 is run again from the manifest of batch 0, as after a failure before its commit."""
+    place, folder = fresh_folder(spark, "source"), fresh_folder(spark, "out")
+    arrivals = [("a", 1), ("b", 2), ("a", 3), ("b", 4), ("c", 5), ("c", 6), ("a", 7)]
+    for n, rows in enumerate((arrivals[:3], arrivals[3:5], arrivals[5:])):
+        if n == 2:  # forget that batch 1 was committed
+            for name in ("1", ".1.crc"):
+                os.remove(f"{folder}/checkpoint/commits/{name}")
+        spark.createDataFrame(rows, "subj string, seq bigint").coalesce(1).write.parquet(f"{place}/{n}")
+        stream = spark.readStream.schema("subj string, seq bigint").option("recursiveFileLookup", "true").parquet(place)
+        run_to_end(stream_pair_up(stream, "subj", folder, buckets=4))
+    got = read_output(stream, folder, "subj string, seq bigint")
+    assert Counter(map(tuple, got.collect())) == Counter(simulate.pair_up(arrivals))
+
+
+@pytest.mark.parametrize(("retain", "capacity"), [("first", 3), ("latest", 4)])
+def test_stream_bounded_join_with_one_memory(spark, retain, capacity):
+    arrivals = random_arrivals(capacity, 150, 4)
+    df = spark.createDataFrame([(n, k, s, f"{n}{s}") for n, k, s in arrivals], "side string, k string, seq bigint, v string")
+    stream = as_stream(df, fresh_folder(spark, "source"), "seq")
+    left = stream.where("side = 'l'").selectExpr("k", "seq", "v AS lv")
+    right = stream.where("side = 'r'").selectExpr("k", "seq", "v AS rv")
+    folder = fresh_folder(spark, "out")
+    run_to_end(stream_bounded_join(left, right, ["k"], folder, "seq", capacity, retain, per="stream"))
+    got = read_output(stream, folder, "k string, lv string, rv string, left_seq bigint, right_seq bigint")
+    found = Counter((r["k"], r["left_seq"], r["right_seq"]) for r in got.collect())
+    assert found == simulate.bounded_join(arrivals, capacity, retain)
+
+
+@pytest.mark.parametrize(
+    "query",
+    [["?u_click_?v", "?u_view_?v", "?u_purchase_?w"], ["?u_click_?v"], ["?u_click_?v", "U7_view_?x", "?u_view_?x"], ["?u_click_3", "U7_view_12"]],
+)
+def test_delta_evaluation(spark, events, source, query):
+    folder = fresh_folder(spark, "out")
+    pats = patterns(query)
+    run_to_end(stream_bgp_delta(source, pats, folder, buckets=4, allow_cross=True))
+    got = read_output(source, folder, delta_schema(pats))
+    assert bag(got) == bag(bgp(events, pats, allow_cross=True))
+
+
+def test_delta_of_the_default_query_goes_on_after_a_restart(spark):
+    """Each batch joins its own rows with the memories; the source's earlier files are gone by then."""
+    place, folder = fresh_folder(spark, "source"), fresh_folder(spark, "out")
+    pats, universe = patterns(DEFAULT_QUERY), triple_universe(spark, 5)
+    schema = universe.schema
+    for n, part in enumerate(universe.randomSplit([1.0] * 4, 5)):
+        part.coalesce(1).write.parquet(f"{place}/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(place)
+        run_to_end(stream_bgp_delta(stream, pats, folder, buckets=4))
+        shutil.rmtree(f"{place}/{n}")
+    got = read_output(universe, folder, delta_schema(pats))
+    assert bag(got) == bag(bgp(triple_universe(spark, 5), pats)) and got.count() == 180

@@ -19,12 +19,14 @@ from tripleflow.operators.counts import publish
 from tripleflow.operators.match import match
 from tripleflow.patterns import pattern, patterns
 from tripleflow.sources.lines import read_lines
-from tripleflow.sources.tables import event_stream
+from tripleflow.sources.tables import event_stream, event_stream_in_batches
 from tripleflow.sources.workdir import fresh_folder
 from tripleflow.streaming import (
+    delta_schema,
     read_output,
     run_to_end,
     stream_bgp,
+    stream_bgp_delta,
     stream_bounded_join,
     stream_collect,
     stream_count_table,
@@ -61,13 +63,21 @@ _JOIN_PATTERNS = patterns(["?u_click_?v", "?u_view_?v", "?u_purchase_?w"])
 
 @query("str2_bgp", f"WITH {EVENTS} SELECT a.subj AS u, a.obj AS v, c.obj AS w {_JOINED}")
 def _stream_bgp(spark: SparkSession, d: str) -> DataFrame:
-    return _collected(stream_bgp(event_stream(spark, d, 1), _JOIN_PATTERNS))
+    return _collected(stream_bgp(event_stream_in_batches(spark, d), _JOIN_PATTERNS))
+
+
+@query("str2_delta", f"WITH {EVENTS} SELECT a.subj AS u, a.obj AS v, c.obj AS w {_JOINED}")
+def _stream_bgp_delta(spark: SparkSession, d: str) -> DataFrame:
+    folder = fresh_folder(spark, "stream")
+    events = event_stream_in_batches(spark, d)
+    run_to_end(stream_bgp_delta(events, _JOIN_PATTERNS, folder, buckets=8))
+    return read_output(events, folder, delta_schema(_JOIN_PATTERNS))
 
 
 @query("str3_counts", _COUNTS.replace("LEFT JOIN", "JOIN"))
 def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    tagged = stream_match_each(event_stream(spark, d, 1, prefix=""), NINE)
+    tagged = stream_match_each(event_stream_in_batches(spark, d, prefix=""), NINE)
     run_to_end(stream_count_table(tagged, f"{folder}/counts", f"{folder}/checkpoint"))
     return spark.read.schema("pattern_id int, n bigint").parquet(f"{folder}/counts")
 
@@ -75,7 +85,7 @@ def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("str3_join_counts", f"WITH {EVENTS} SELECT a.subj AS u, count(*) AS n {_JOINED} GROUP BY a.subj")
 def _stream_join_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    joined = stream_bgp(event_stream(spark, d, 1), _JOIN_PATTERNS)
+    joined = stream_bgp(event_stream_in_batches(spark, d), _JOIN_PATTERNS)
     run_to_end(stream_row_counts(joined, f"{folder}/partials", f"{folder}/checkpoint", ["u"]))
     partials = spark.read.schema("u string, n bigint").parquet(f"{folder}/partials")
     return partials.groupBy("u").agg(F.sum("n").alias("n"))
@@ -91,13 +101,23 @@ def _stream_bounded_latest(spark: SparkSession, d: str) -> DataFrame:
     return _stream_bounded(spark, d, "latest")
 
 
-def _stream_bounded(spark: SparkSession, d: str, retain: str) -> DataFrame:
+@query("str4_bounded_first_per_stream", _bounded_sql("first", "stream", CAPACITY["stream"]))
+def _stream_bounded_first_per_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_bounded(spark, d, "first", "stream")
+
+
+@query("str4_bounded_latest_per_stream", _bounded_sql("latest", "stream", CAPACITY["stream"]))
+def _stream_bounded_latest_per_stream(spark: SparkSession, d: str) -> DataFrame:
+    return _stream_bounded(spark, d, "latest", "stream")
+
+
+def _stream_bounded(spark: SparkSession, d: str, retain: str, per: str = "key") -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    events = event_stream(spark, d)
+    events = event_stream_in_batches(spark, d)
     clicks = match(events, pattern("?u_click_?v"), keep=["seq"])
     views = match(events, pattern("?u_view_?w"), keep=["seq"])
     run_to_end(
-        stream_bounded_join(clicks, views, ["u"], folder, "seq", CAPACITY["key"], retain)
+        stream_bounded_join(clicks, views, ["u"], folder, "seq", CAPACITY[per], retain, per=per, buckets=8)
     )
     schema = "u string, v string, w string, left_seq bigint, right_seq bigint"
     return read_output(events, folder, schema)
@@ -106,24 +126,24 @@ def _stream_bounded(spark: SparkSession, d: str, retain: str) -> DataFrame:
 @query("str5_pair_up", _PAIRS)
 def _stream_pairs(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    events = event_stream(spark, d).select("subj", "seq")
-    run_to_end(stream_pair_up(events, "subj", folder))
+    events = event_stream_in_batches(spark, d).select("subj", "seq")
+    run_to_end(stream_pair_up(events, "subj", folder, buckets=8))
     return read_output(events, folder, "subj string, seq bigint")
 
 
 @query("str5_pair_up_obj_subj", SQL["jn8_obj_subj"])
 def _stream_obj_subj(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    events = event_stream(spark, d)
-    run_to_end(stream_pair_up_obj_subj(subjects_with_objects(events), folder))
+    events = event_stream_in_batches(spark, d)
+    run_to_end(stream_pair_up_obj_subj(subjects_with_objects(events), folder, buckets=8))
     return read_output(events, folder, "letter string, seq bigint")
 
 
 @query("str5_threshold", f"{_threshold_sql(10)} SELECT subj, seq FROM reached")
 def _stream_threshold(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    events = event_stream(spark, d)
-    run_to_end(stream_threshold(events, "subj", "obj", folder))
+    events = event_stream_in_batches(spark, d)
+    run_to_end(stream_threshold(events, "subj", "obj", folder, buckets=8))
     return read_output(events, folder, "subj string, seq bigint")
 
 
@@ -133,6 +153,6 @@ def _stream_threshold(spark: SparkSession, d: str) -> DataFrame:
 )
 def _stream_publish(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
-    views = match(event_stream(spark, d, 1), pattern("?u_view_?v"))
+    views = match(event_stream_in_batches(spark, d), pattern("?u_view_?v"))
     run_to_end(publish(views, f"{folder}/lines", f"{folder}/checkpoint"))
     return read_lines(spark, f"{folder}/lines")

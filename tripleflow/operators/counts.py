@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,12 +59,17 @@ def render(df: DataFrame) -> DataFrame:
 
 
 def publish(
-    df: DataFrame, path: str, checkpoint: str | None = None, fmt: str = "text", **options: str
+    df: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    fmt: str = "text",
+    trigger: Mapping[str, object] | None = None,
+    **options: str,
 ):
     """Write rendered rows to a text folder or another sink.
 
     For a stream this returns the started query; it needs a ``checkpoint`` folder
-    and processes what is available, then stops.
+    and processes what is available, then stops, unless ``trigger`` says otherwise.
     """
     rendered = render(df)
     if not df.isStreaming:
@@ -77,6 +82,6 @@ def publish(
         .options(**options)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start(path)
     )

@@ -12,8 +12,10 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tripleflow.patterns import Pattern, is_var
+from tripleflow.sources.workdir import fresh_folder
 
 # Columns of the tables.  Declared, so that building a plan reads no file.
 SCHEMAS = {
@@ -121,3 +123,23 @@ def event_stream(
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return events_as_triples(reader.parquet(f"{folder}/events.parque[t]"), prefix)
+
+
+def event_stream_in_batches(spark: SparkSession, folder: str, batches: int = 4, prefix: str = "U") -> DataFrame:
+    """The events table followed as a stream in several micro-batches.
+
+    The table is first laid down in the shared folder in files of ascending ``event_id``, one
+    after the other; the stream then takes a file at a time.
+    """
+    events = table(spark, folder, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    place = fresh_folder(spark, "events")
+    if low is None:
+        events.coalesce(1).write.parquet(f"{place}/0")
+        low, high, batches = 0, -1, 0
+    width = -(-(high - low + 1) // batches) if batches else 0
+    for k in range(batches):
+        part = events.where(F.col("event_id").between(low + k * width, low + (k + 1) * width - 1))
+        part.coalesce(1).write.parquet(f"{place}/{k}")
+    reader = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+    return events_as_triples(reader.option("recursiveFileLookup", "true").parquet(place), prefix)

@@ -1,6 +1,7 @@
 """The operators on Structured Streaming sources."""
 
-from tripleflow.streaming.fold import fold_batches, read_output, run_to_end
+from tripleflow.streaming.delta import delta_schema, stream_bgp_delta
+from tripleflow.streaming.fold import AVAILABLE_NOW, State, fold_batches, read_output, run_to_end
 from tripleflow.streaming.stateful import (
     stream_bounded_join,
     stream_pair_up,
@@ -18,10 +19,14 @@ from tripleflow.streaming.stateless import (
 )
 
 __all__ = [
+    "AVAILABLE_NOW",
+    "State",
+    "delta_schema",
     "fold_batches",
     "read_output",
     "run_to_end",
     "stream_bgp",
+    "stream_bgp_delta",
     "stream_bounded_join",
     "stream_collect",
     "stream_count_table",

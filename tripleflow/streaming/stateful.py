@@ -19,7 +19,7 @@ from tripleflow.operators.correlate import (
     remembered_pairs,
     tag_sides,
 )
-from tripleflow.streaming.fold import fold_batches
+from tripleflow.streaming.fold import AVAILABLE_NOW, BUCKETS, Trigger, fold_batches
 
 
 def _field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructField:
@@ -27,7 +27,13 @@ def _field(df: DataFrame, name: str, as_name: str | None = None) -> T.StructFiel
 
 
 def stream_pair_up(
-    stream: DataFrame, key: str, base: str, seq: str = "seq", split_rows: int = SPLIT_ROWS
+    stream: DataFrame,
+    key: str,
+    base: str,
+    seq: str = "seq",
+    split_rows: int = SPLIT_ROWS,
+    buckets: int = BUCKETS,
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """`pair_up` on a stream.  The state is the keys still waiting for a partner."""
     schema = T.StructType([_field(stream, key)])
@@ -44,7 +50,7 @@ def stream_pair_up(
         still = arrived.join(waiting, key, "full").where(total % 2 == 1).select(key)
         return pairs.drop("_nth", "_waits"), still
 
-    return fold_batches(stream, step, schema, base)
+    return fold_batches(stream, step, schema, base, [key], buckets, trigger)
 
 
 def stream_pair_up_obj_subj(
@@ -54,10 +60,12 @@ def stream_pair_up_obj_subj(
     obj: str = "obj",
     seq: str = "seq",
     split_rows: int = SPLIT_ROWS,
+    buckets: int = BUCKETS,
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """`pair_up_obj_subj` on a stream."""
     keyed = stream.select(F.coalesce(F.col(obj), F.col(subj)).alias("letter"), seq)
-    return stream_pair_up(keyed, "letter", base, seq, split_rows)
+    return stream_pair_up(keyed, "letter", base, seq, split_rows, buckets, trigger)
 
 
 def stream_threshold(
@@ -67,6 +75,8 @@ def stream_threshold(
     base: str,
     seq: str = "seq",
     n: int = DEFAULT_THRESHOLD,
+    buckets: int = BUCKETS,
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """`threshold_reached` on a stream.
 
@@ -106,7 +116,7 @@ def stream_threshold(
         reached = rows.join(spans, key).where(within).select(key, seq)
         return reached, earliest.drop("_d")
 
-    return fold_batches(stream, step, schema, base)
+    return fold_batches(stream, step, schema, base, [key], buckets, trigger)
 
 
 def stream_bounded_join(
@@ -118,31 +128,37 @@ def stream_bounded_join(
     capacity: int = DEFAULT_CAPACITY,
     retain: str = "first",
     split_rows: int = SPLIT_ROWS,
+    per: str = "key",
+    buckets: int = BUCKETS,
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """`bounded_join` with one memory per key, on two streams of one source.
+    """`bounded_join` on two streams of one source.
 
-    The state is exactly the remembered rows, at most ``capacity`` per key and side.
-    The newest row of a side is always remembered, so the arrival counts go on from
-    the highest rank in the state.
+    The state is exactly the remembered rows, at most ``capacity`` per side and key, or per
+    side with ``per="stream"``, whose state is one bucket.  The newest row of a side is always
+    remembered, so the arrival counts go on from the highest rank in the state.
     """
+    if per not in ("key", "stream"):
+        raise ValueError(f"per must be 'key' or 'stream', not {per!r}")
     on = list(on)
+    memory_of = on if per == "key" else []
     both = tag_sides(left, right, on, seq)
     counters = [T.StructField("n_l", T.LongType()), T.StructField("n_r", T.LongType())]
     schema = T.StructType([*both.schema.fields, *counters])
 
     def step(batch: DataFrame, state: DataFrame, batch_id: int):
-        carried = state.groupBy(*on).agg(
+        carried = state.groupBy(*memory_of).agg(
             _own_rank("is_left", "n_l").alias("_l0"), _own_rank("not is_left", "n_r").alias("_r0")
         )
         is_left = F.col("is_left")
         numbered = running(
             batch,
-            on,
+            memory_of,
             "at",
             {"n_l": is_left.cast("bigint"), "n_r": (~is_left).cast("bigint")},
             split_rows=split_rows,
-        ).join(carried, on, "left")
-        new = numbered.withColumns(
+        )
+        new = _with_memory(numbered, carried, memory_of).withColumns(
             {
                 "n_l": F.col("n_l") + F.coalesce("_l0", F.lit(0)),
                 "n_r": F.col("n_r") + F.coalesce("_r0", F.lit(0)),
@@ -151,7 +167,7 @@ def stream_bounded_join(
         rows = state.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
         pairs = remembered_pairs(rows, on, capacity, retain, F.col("_new"))
 
-        latest = rows.groupBy(*on).agg(
+        latest = rows.groupBy(*memory_of).agg(
             _own_rank("is_left", "n_l").alias("_l1"), _own_rank("not is_left", "n_r").alias("_r1")
         )
         rank = F.when(is_left, F.col("n_l")).otherwise(F.col("n_r"))
@@ -160,10 +176,17 @@ def stream_bounded_join(
             remembered = (rank < capacity) | (rank == count)
         else:
             remembered = rank > count - capacity
-        kept = rows.join(latest, on).where(remembered).select(*[f.name for f in schema.fields])
+        kept = _with_memory(rows, latest, memory_of).where(remembered).select(*[f.name for f in schema.fields])
         return flatten_pairs(pairs, left, right, on, seq), kept
 
-    return fold_batches(both, step, schema, base)
+    return fold_batches(both, step, schema, base, memory_of, buckets, trigger)
+
+
+def _with_memory(rows: DataFrame, counts: DataFrame, memory_of: Sequence[str]) -> DataFrame:
+    """Each row with the counts of its memory; of a whole stream's memory there is one row."""
+    if memory_of:
+        return rows.join(counts, list(memory_of), "left")
+    return rows.crossJoin(F.broadcast(counts))
 
 
 def _own_rank(side: str, counter: str) -> Column:

@@ -12,6 +12,7 @@ from tripleflow.operators.joins import CELLS, bound_within, shared_columns, spre
 from tripleflow.operators.match import MATCHED, match, match_each
 from tripleflow.patterns import Pattern, numbered, output_names
 from tripleflow.plans.bgp import bgp
+from tripleflow.streaming.fold import AVAILABLE_NOW, Trigger
 
 stream_match = match
 stream_match_each = match_each
@@ -66,7 +67,11 @@ def stream_counts(tagged: DataFrame, by: str = "pattern_id") -> DataFrame:
 
 
 def stream_count_table(
-    tagged: DataFrame, path: str, checkpoint: str, by: str = "pattern_id"
+    tagged: DataFrame,
+    path: str,
+    checkpoint: str,
+    by: str = "pattern_id",
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """`stream_counts` kept as a table that each micro-batch replaces."""
 
@@ -78,13 +83,17 @@ def stream_count_table(
         .writeStream.outputMode("complete")
         .foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
 def stream_row_counts(
-    results: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ()
+    results: DataFrame,
+    path: str,
+    checkpoint: str,
+    by: Sequence[str] = (),
+    trigger: Trigger = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Running counts of the rows of a joined stream, kept as one partial per micro-batch.
 
@@ -99,13 +108,13 @@ def stream_row_counts(
     return (
         results.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
 def stream_collect(
-    df: DataFrame, path: str, checkpoint: str, timed: bool = False
+    df: DataFrame, path: str, checkpoint: str, timed: bool = False, trigger: Trigger = AVAILABLE_NOW
 ) -> StreamingQuery:
     """Append the rows of a stream to a parquet folder, on request with ``received_at``."""
     rows = df.withColumn("received_at", F.current_timestamp()) if timed else df
@@ -114,6 +123,6 @@ def stream_collect(
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
