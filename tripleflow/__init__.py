@@ -14,6 +14,7 @@ from tripleflow.operators.aggregate import (
 )
 from tripleflow.operators.correlate import (
     bounded_join,
+    bounded_multi_join,
     pair_up,
     pair_up_obj_subj,
     threshold_reached,
@@ -27,6 +28,7 @@ from tripleflow.operators.counts import (
     publish,
     render,
 )
+from tripleflow.operators.hypercube import one_shuffle_join
 from tripleflow.operators.joins import cross, multi_join, natural_join
 from tripleflow.operators.match import (
     match,
@@ -38,6 +40,7 @@ from tripleflow.operators.match import (
 )
 from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
+from tripleflow.plans.reduce import bgp_reduced, reduce_relations
 from tripleflow.plans.domain import domain_cardinality
 from tripleflow.sources.lines import clean_lines, read_lines
 from tripleflow.sources.triples import (
@@ -56,7 +59,9 @@ __all__ = [
     "anova_oneway",
     "bgp",
     "bgp_grouped",
+    "bgp_reduced",
     "bounded_join",
+    "bounded_multi_join",
     "clean_lines",
     "collect_timed",
     "count_bgp",
@@ -77,6 +82,7 @@ __all__ = [
     "multi_join",
     "natural_join",
     "numeric_mean",
+    "one_shuffle_join",
     "pair_up",
     "pair_up_obj_subj",
     "parse_kv",
@@ -87,6 +93,7 @@ __all__ = [
     "patterns",
     "publish",
     "read_lines",
+    "reduce_relations",
     "render",
     "rollup_partials",
     "share_scan",

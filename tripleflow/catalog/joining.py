@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripleflow.catalog.registry import EVENTS, STAR, UNIVERSE, query
 from tripleflow.functions.text import merge_bindings, render_map
+from tripleflow.operators.hypercube import one_shuffle_join
 from tripleflow.operators.joins import cross, multi_join, natural_join
 from tripleflow.operators.match import match, match_each, share_scan
 from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
 from tripleflow.plans.domain import domain_cardinality, variable_domains
+from tripleflow.plans.reduce import bgp_reduced, reduce_relations
 from tripleflow.sources.tables import event_triples, star_triples, table
 from tripleflow.sources.triples import triple_universe
 
@@ -38,12 +42,14 @@ HOME_SALES_BY_GROUP = patterns(
     ]
 )
 
-_HOME = """
-FROM star n JOIN star c ON c.pred = 'inNation' AND c.obj = n.subj
-JOIN star o ON o.pred = 'placedBy' AND o.obj = c.subj
-JOIN star l ON l.pred = 'soldBy' AND l.subj = o.subj
-JOIN star s ON s.pred = 'inNation' AND s.subj = l.obj AND s.obj = n.subj
-WHERE n.pred = 'inRegion' AND n.obj = 'R1'"""
+# A table expression for each predicate, filtered before anything is joined.
+_HOME_PARTS = """in_region AS MATERIALIZED (SELECT 'N' || n_nationkey AS n FROM nation WHERE n_regionkey = 1),
+customers AS MATERIALIZED (SELECT 'C' || c_custkey AS c, 'N' || c_nationkey AS n FROM customer),
+suppliers AS MATERIALIZED (SELECT 'S' || s_suppkey AS s, 'N' || s_nationkey AS n FROM supplier),
+placed AS MATERIALIZED (SELECT 'O' || o_orderkey AS o, 'C' || o_custkey AS c FROM orders),
+sold AS MATERIALIZED (SELECT 'O' || l_orderkey AS o, 'S' || l_suppkey AS s FROM lineitem)"""
+_HOME_JOINS = "FROM in_region JOIN customers USING (n) JOIN placed USING (c) JOIN sold USING (o) JOIN suppliers USING (s, n)"
+_HOME_ROWS = f"WITH {_HOME_PARTS} SELECT n, c, o, s {_HOME_JOINS}"
 
 
 def matched_star(spark: SparkSession, d: str, query: list[str]) -> list[DataFrame]:
@@ -54,9 +60,7 @@ def matched_star(spark: SparkSession, d: str, query: list[str]) -> list[DataFram
 
 @query(
     "jn1_natural",
-    f"""WITH {STAR}
-SELECT a.subj AS o, a.obj AS c, b.obj AS s FROM star a JOIN star b ON a.subj = b.subj
-WHERE a.pred = 'placedBy' AND b.pred = 'soldBy'""",
+    f"WITH {_HOME_PARTS} SELECT o, c, s FROM placed JOIN sold USING (o)",
 )
 def _natural(spark: SparkSession, d: str) -> DataFrame:
     return natural_join(*matched_star(spark, d, ["?o_placedBy_?c", "?o_soldBy_?s"]))
@@ -99,18 +103,69 @@ def _cross(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn4_bgp",
-    f"WITH {STAR} SELECT n.subj AS n, c.subj AS c, o.subj AS o, s.subj AS s {_HOME}",
+    _HOME_ROWS,
 )
 def _bgp(spark: SparkSession, d: str) -> DataFrame:
     return bgp(star_triples(spark, d, HOME_SALES), HOME_SALES)
 
 
-@query("jn4_home_sales", f"WITH {STAR} SELECT n.subj AS n, count(*) AS n_items {_HOME} GROUP BY n.subj")
+@query("jn4_home_sales", f"WITH {_HOME_PARTS} SELECT n, count(*) AS n_items {_HOME_JOINS} GROUP BY n")
 def home_sales(spark: SparkSession, d: str) -> DataFrame:
     counted = count_bgp(star_triples(spark, d, HOME_SALES), HOME_SALES, by=["n"])
     return counted.select(F.col("n").alias("n"), F.col("rows").alias("n_items"))
 
 
+# The home sales as a cycle of four relations and one that closes it off, and a triangle.
+@query("jn2_one_shuffle_cycle", _HOME_ROWS)
+def _one_shuffle_cycle(spark: SparkSession, d: str) -> DataFrame:
+    triples = star_triples(spark, d, HOME_SALES)
+    return one_shuffle_join([match(triples, p) for p in HOME_SALES], {"o": 4, "n": 4}).select("n", "c", "o", "s")
+
+
+@query(
+    "jn2_triangle",
+    """WITH sold AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+has AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+deals AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+SELECT 'S' || s AS s, count(*) AS n FROM sold JOIN has USING (o) JOIN deals USING (s, p) GROUP BY s""",
+)
+def _triangle(spark: SparkSession, d: str) -> DataFrame:
+    pats = patterns(["?o_soldBy_?s", "?o_hasPart_?p"])
+    sold, has = (match(star_triples(spark, d, pats), p).distinct() for p in pats)
+    lines = table(spark, d, "lineitem")
+    deals = lines.select(F.concat(F.lit("S"), "l_suppkey").alias("s"), F.concat(F.lit("P"), "l_partkey").alias("p")).distinct()
+    return one_shuffle_join([sold, has, deals], cells=27).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Acyclic, with many orders whose customer is of another region or segment.
+_DANGLING = patterns(
+    [("?o", "soldBy", "?s"), ("?o", "placedBy", "?c"), ("?c", "segment", "BUILDING"), ("?c", "inNation", "?n"), ("?n", "inRegion", "R1")]
+)
+_DANGLING_SQL = """FROM star o JOIN star p ON p.subj = o.subj AND p.pred = 'placedBy'
+JOIN star g ON g.subj = p.obj AND g.pred = 'segment' AND g.obj = 'BUILDING'
+JOIN star c ON c.subj = p.obj AND c.pred = 'inNation' JOIN star n ON n.subj = c.obj AND n.pred = 'inRegion' AND n.obj = 'R1'
+WHERE o.pred = 'soldBy'"""
+
+
+@query("jn4_reduced", f"WITH {STAR} SELECT o.subj AS o, o.obj AS s, p.obj AS c, c.obj AS n {_DANGLING_SQL}")
+def _reduced(spark: SparkSession, d: str) -> DataFrame:
+    return bgp_reduced(star_triples(spark, d, _DANGLING), _DANGLING)
+
+
+@query(
+    "jn4_reduced_sizes",
+    f"""WITH {STAR}, r AS (SELECT o.subj AS o, o.obj AS s, p.obj AS c, c.obj AS n {_DANGLING_SQL})
+SELECT 0 AS pattern_id, (SELECT count(*) FROM star WHERE pred = 'soldBy' AND subj IN (SELECT o FROM r)) AS n
+UNION ALL SELECT 1, (SELECT count(DISTINCT o) FROM r) UNION ALL SELECT 2, (SELECT count(DISTINCT c) FROM r)
+UNION ALL SELECT 3, (SELECT count(DISTINCT c) FROM r) UNION ALL SELECT 4, (SELECT count(DISTINCT n) FROM r)""",
+)
+def _reduced_sizes(spark: SparkSession, d: str) -> DataFrame:
+    triples = star_triples(spark, d, _DANGLING)
+    reduced = reduce_relations([match(triples, p) for p in _DANGLING])
+    sizes = [r.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("pattern_id"), "n") for i, r in enumerate(reduced)]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 @query(
     "jn4_variable_free",
     f"""WITH {EVENTS}
@@ -178,7 +233,7 @@ def _default_rows_grouped(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jn5_grouped",
-    f"WITH {STAR} SELECT n.subj AS n, c.subj AS c, o.subj AS o, s.subj AS s {_HOME}",
+    _HOME_ROWS,
 )
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     return bgp_grouped(star_triples(spark, d, HOME_SALES), HOME_SALES_BY_GROUP)

@@ -16,6 +16,7 @@ from tripleflow.operators.aggregate import (
 )
 from tripleflow.operators.correlate import (
     bounded_join,
+    bounded_multi_join,
     pair_up,
     pair_up_obj_subj,
     threshold_reached,
@@ -70,6 +71,45 @@ for _retain in ("first", "latest"):
         _register_bounded(_retain, _per)
 
 
+def _multi_sql(retain: str, per: str, capacity: int) -> str:
+    """Three sides: every two rows of a combination that the latest row still meets in memory."""
+    part = "PARTITION BY u " if per == "key" else ""
+
+    def held(row: str, by: str, n: str) -> str:
+        kept = f"({row}.{n} < {capacity} OR {row}.{n} = {by}.{n})" if retain == "first" else f"{row}.{n} > {by}.{n} - {capacity}"
+        return f"{row}.seq < {by}.seq AND {kept}"
+
+    own = {"a": "n1", "b": "n2", "c": "n3"}
+    latest = " OR ".join(
+        "(" + " AND ".join(held(row, by, own[row]) for row in own if row != by) + ")" for by in own
+    )
+    return f"""WITH {EVENTS},
+sides AS (SELECT subj AS u, obj AS v, seq, pred FROM ev WHERE pred IN ('click', 'view', 'purchase')),
+numbered AS (SELECT *, count(*) FILTER (pred = 'click') OVER ({part}ORDER BY seq) AS n1,
+  count(*) FILTER (pred = 'view') OVER ({part}ORDER BY seq) AS n2,
+  count(*) FILTER (pred = 'purchase') OVER ({part}ORDER BY seq) AS n3 FROM sides)
+SELECT a.u AS u, a.v AS v, b.v AS w, c.v AS x, a.seq AS seq_1, b.seq AS seq_2, c.seq AS seq_3
+FROM numbered a JOIN numbered b ON a.u = b.u AND b.pred = 'view' JOIN numbered c ON a.u = c.u AND c.pred = 'purchase'
+WHERE a.pred = 'click' AND ({latest})"""
+
+
+def _register_multi(retain: str, per: str) -> None:
+    capacity = {"key": 3, "stream": 40}[per]
+
+    @query(f"jn6_multi_{retain}_per_{per}", _multi_sql(retain, per, capacity))
+    def _multi(spark: SparkSession, d: str) -> DataFrame:
+        events = event_triples(spark, d)
+        sides = [
+            match(events, pattern(p), keep=["seq"]) for p in ("?u_click_?v", "?u_view_?w", "?u_purchase_?x")
+        ]
+        return bounded_multi_join(sides, ["u"], "seq", capacity, retain, per, split_rows=SPLIT)
+
+
+for _retain in ("first", "latest"):
+    for _per in ("key", "stream"):
+        _register_multi(_retain, _per)
+
+
 _PAIRS = f"""WITH {EVENTS}, numbered AS (
   SELECT subj, seq, row_number() OVER (PARTITION BY subj ORDER BY seq) AS nth FROM ev)
 SELECT subj, seq FROM numbered WHERE nth % 2 = 0"""

@@ -174,6 +174,74 @@ def flatten_pairs(
     return pairs.select(*on, *taken, "left_seq", "right_seq")
 
 
+def bounded_multi_join(
+    sides: Sequence[DataFrame],
+    on: Sequence[str],
+    seq: str = "seq",
+    capacity: int = DEFAULT_CAPACITY,
+    retain: str = "first",
+    per: str = "key",
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """`bounded_join` of any number of sides: an arrival joins what every other side remembers.
+
+    A combination of one row per side comes out when its latest row arrives, if each other row
+    is still remembered by then.  For every side the rows arriving there look the others up,
+    one after the other, in the slots of `remembered_pairs`.  The result has ``on``, the other
+    columns of all sides, and ``seq_1``, ``seq_2`` ... of their rows.
+    """
+    sides, on = list(sides), list(on)
+    if len(sides) < 2:
+        raise ValueError("a join has at least two sides")
+    if per not in ("key", "stream"):
+        raise ValueError(f"per must be 'key' or 'stream', not {per!r}")
+    if capacity < 1 or retain not in ("first", "latest"):
+        raise ValueError("capacity is at least 1, retain 'first' or 'latest'")
+    others = [c for side in sides for c in side.columns if c not in (*on, seq)]
+    if len({c.lower() for c in others}) < len(others):
+        raise ValueError("columns other than the key and the order need different names on all sides")
+    numbers = range(1, len(sides) + 1)
+
+    def tagged(k: int, side: DataFrame) -> DataFrame:
+        own = [c for c in side.columns if c not in (*on, seq)]
+        held = F.struct(*own) if own else F.struct(F.lit(1).alias("_none"))
+        return present(side, on).select(*on, F.col(seq).alias("at"), F.lit(k).alias("side"), held.alias(f"row_{k}"))
+
+    both = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [tagged(k, side) for k, side in zip(numbers, sides, strict=True)],
+    )
+    counted = running(
+        both, on if per == "key" else [], "at",
+        {f"n_{k}": (F.col("side") == k).cast("bigint") for k in numbers}, split_rows=split_rows,
+    )
+    slot_of, slots_to_see, meets = (_first_slots if retain == "first" else _latest_slots)(capacity)
+
+    def held_on(k: int) -> DataFrame:
+        mine = counted.where(F.col("side") == k)
+        ranked = mine.select(*on, F.col("at").alias(f"seq_{k}"), F.col(f"row_{k}"), F.col(f"n_{k}").alias("rank"))
+        return ranked.withColumn("_slot", slot_of)
+
+    def arriving_on(k: int) -> DataFrame:
+        seen = [f"n_{j}" for j in numbers if j != k]
+        out = counted.where(F.col("side") == k).select(*on, F.col("at").alias(f"seq_{k}"), f"row_{k}", *seen)
+        for j in numbers:
+            if j == k:
+                continue
+            looks = out.withColumnRenamed(f"n_{j}", "seen").where(F.col("seen") > 0).withColumn("_slot", F.explode(slots_to_see))
+            out = held_on(j).join(looks, [*on, "_slot"]).where(meets).drop("_slot", "rank", "seen")
+        return out
+
+    met = reduce(DataFrame.unionByName, [arriving_on(k) for k in numbers])
+    taken = [
+        F.col(f"row_{k}")[c].alias(c)
+        for k, side in zip(numbers, sides, strict=True)
+        for c in side.columns
+        if c not in (*on, seq)
+    ]
+    return met.select(*on, *taken, *[f"seq_{k}" for k in numbers])
+
+
 def pair_up(
     df: DataFrame, key: str, seq: str = "seq", split_rows: int = SPLIT_ROWS
 ) -> DataFrame:
