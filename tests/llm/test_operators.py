@@ -156,7 +156,6 @@ def test_packing(docs, pairs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for p in packing.pieces_with_digest(docs, tokenizer_file("word_bpe_49k.json"), END_ID).collect():
         pieces[p.doc_id].append(p)
@@ -183,7 +182,6 @@ def test_token_files(docs, pairs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found, at = by_id(PER_ROW["op10"](docs)), 0
     for i, text in pairs:
         ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [END_ID], "<u4")
@@ -192,6 +190,18 @@ def test_token_files(docs, pairs):
         at += len(ids)
 
 
+@pytest.mark.parametrize("file, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_strings_of_special_tokens_are_what_the_library_makes_of_them(file, kind):
+    from tokenizers import Tokenizer
+
+    from tripleflow.llm.wordmemo import WordMemo
+
+    tokenizer, memo = Tokenizer.from_file(public_tokenizers.path(file)), WordMemo(public_tokenizers.path(file), kind)
+    texts = ["plain", "x <|endoftext|> y", "<|startoftext|>", "a<|ENDOFTEXT|>b", "a < b | c > d <| e |>", "<|endoftext", "", "<|endoftext|>" * 3]
+    for text, ids in zip(texts, memo.ids(texts)):
+        assert np.frombuffer(ids, memo.type).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_damaged_records_are_noticed():
     record = token_files.frame(5, np.arange(9, dtype="<u2").tobytes(), 2)
     good = record + b"\n"

@@ -4,7 +4,8 @@ A pre-tokenizer never joins characters before white space with white space, so a
 cut there and equal chunks get equal ids.  A chunk not yet known is cut into the words of
 the vocabulary's own pattern, and a word not yet known goes to the library's BPE model.
 Texts with characters outside a set whose classes are the same in every Unicode version,
-or with white space other than space and line feed, go to the library as a whole; so does
+or with white space other than space and line feed, go to the library as a whole, and so do
+texts with the string of a special token, which the library takes for that token.  So does
 a batch whose first text comes out differently.
 """
 
@@ -52,7 +53,9 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # A character of all of them: most texts are told by it alone.
+        self.mark = min(set.intersection(*map(set, self.special or [""])) - set(" abcdefghijklmnopqrstuvwxyz"), default="")
         self.model, self.kind, self.limit = self.tokenizer.model, kind, limit
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
@@ -87,6 +90,10 @@ class WordMemo:
         encoded = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(encoded.ids, self.type).tobytes()
 
+    def _special(self, text: str) -> bool:
+        lower = text.lower()
+        return any(s in lower for s in self.special)
+
     def _plain(self, text: str) -> bytes:
         chunks = text.lower().split() if self.kind == "word" else CHUNK.findall(text)
         if len(self.of_chunk) >= self.limit:
@@ -97,7 +104,7 @@ class WordMemo:
         """Little-endian ids of each text, in ``self.type``, without special tokens."""
         found = []
         for text in texts:
-            plain = not ODD.search(text)
+            plain = not ODD.search(text) and not (self.mark in text and self._special(text))
             got = self._plain(text) if plain else self._whole(text)
             if plain and not found and got != self._whole(text):
                 print("word memo: a text differs from the library's, which takes over", file=sys.stderr)
