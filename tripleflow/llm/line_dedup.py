@@ -51,8 +51,8 @@ def _with_tokens(lines: DataFrame) -> DataFrame:
 
     Words are hashed once, shingles are hashes of word hashes.
     """
-    of_five = ", ".join(f"get(h, i + {k})" for k in range(WORDS))
-    shingles = f"transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({of_five}))"
+    following = ", ".join(f"get(h, i + {k})" for k in range(1, WORDS))
+    shingles = f"transform(slice(h, 1, size(h) - {WORDS - 1}), (x, i) -> xxhash64(x, {following}))"
     others = [c for c in lines.columns if c != "line_text"]
     hashed = lines.select(*others, _words("line_text").alias("w")).select(*others, F.expr("transform(w, x -> xxhash64(x))").alias("h"))
     return hashed.select(
@@ -102,7 +102,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     side = lambda s: tokens.select(
         F.struct("doc_id", "line").alias(s), F.col("tokens").alias(f"{s}_tokens")
     )
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    # (merge joins at every size: no side of these has a bound)
+    both = pairs.join(side("x").hint("merge"), "x").join(side("y").hint("merge"), "y")
     shared = "size(array_intersect(x_tokens, y_tokens))"
     alike = f"10 * {shared} >= {SHARE_OF} * (size(x_tokens) + size(y_tokens) - {shared})"
     return both.where(F.expr(alike)).select("x.doc_id", "x.line").distinct()
@@ -126,7 +127,7 @@ def _possible(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     repeated = first.where("m > 1").select(*key, "place")
     copies = written(
-        keyed.select("doc_id", "line", *key).join(repeated, key).where(place != F.col("place")).select("doc_id", "line").distinct(),
+        keyed.select("doc_id", "line", *key).join(repeated.hint("merge"), key).where(place != F.col("place")).select("doc_id", "line").distinct(),
         "line-copies",
     )
     discard(table)
@@ -162,7 +163,7 @@ def _by_rarity(tokens: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line``: lines (from 0) with an earlier line of similarity 0.8 or more."""
     copies, possible = _possible(docs)
-    kept = id_and_text(docs).join(possible, "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
+    kept = id_and_text(docs).join(possible.hint("merge"), "doc_id").select("doc_id", "wanted", F.split("text", "\n").alias("lines"))
     chosen = kept.select("doc_id", "lines", F.explode_outer("wanted").alias("line")).select(
         "doc_id", "line", F.get("lines", F.col("line")).alias("line_text")
     )
@@ -175,7 +176,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     # first round: of the earliest lines of its tokens, each line takes the one it meets most
     first = shared.groupBy("t").agg(F.min(F.struct("doc_id", "line", "n", "pos")).alias("y"), F.count(F.lit(1)).alias("m"))
-    near = shared.select("t", row).join(first.where("m > 1"), "t").where(later & _passes("x", "y"))
+    near = shared.select("t", row).join(first.where("m > 1").hint("merge"), "t").where(later & _passes("x", "y"))
     met = near.groupBy(to_place("x"), to_place("y")).agg(F.count(F.lit(1)).alias("k"))
     pairs = met.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
     found = written(_verified(pairs, tokens), "line-found")
@@ -191,7 +192,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     enough = F.expr(
         f"t = get({both}, 0) AND {10 + SHARE_OF} * (size({both}) + least({after('x')}, {after('y')})) >= {SHARE_OF} * (x.n + y.n)"
     )
-    rest = left.join(others, "t").where(later & _passes("x", "y") & enough)
+    rest = left.join(others.hint("merge"), "t").where(later & _passes("x", "y") & enough)
     again = _verified(rest.select(to_place("x"), to_place("y")), tokens)
     return copies.unionByName(found).unionByName(again).distinct()
 
