@@ -268,7 +268,8 @@ def test_sql_agrees(spark, small):
     from tripleflow.llm.queries import QUERIES, SQL
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     for name, sql in SQL.items():
         cursor = con.execute(sql)
         columns = [d[0] for d in cursor.description]
