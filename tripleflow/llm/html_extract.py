@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,38 +19,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'<>]++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+ATTRIBUTE = re.compile(r"([^\s\"'/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"']++)))?|\"[^\"]*+\"|'[^']*+'")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 # Element names of HTML and words that mark parts around an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template head nav footer aside form button select option textarea iframe "
-    "object embed svg canvas math audio video dialog menu title".split()
+    "script style noscript template head button select option textarea iframe object embed svg canvas math audio "
+    "video dialog menu title".split()
 )
+# Left out like what is named so, unless the article itself stands in them.
+AROUND_TAGS = frozenset("nav footer aside form".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption address".split())
 CONTAINERS = frozenset(
     "html body article main section div header footer nav aside form fieldset ul ol dl table thead tbody "
     "tfoot tr figure details summary center hgroup hr".split()
 )
 BLOCKS = PARAGRAPHS | CONTAINERS
-# What an opening tag closes, and the elements it does not look beyond.
-CLOSES = {
-    **dict.fromkeys(BLOCKS - {"li", "dt", "dd", "td", "th", "tr"}, (frozenset({"p"}), frozenset({"button", "td", "th", "li", "div", "article", "section"}))),
-    "li": (frozenset({"li", "p"}), frozenset({"ul", "ol"})),
-    "dt": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd", "p"}), frozenset({"dl"})),
-    "td": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th", "p"}), frozenset({"tr", "table"})),
-    "tr": (frozenset({"tr", "td", "th", "p"}), frozenset({"table", "thead", "tbody", "tfoot"})),
+# What the opening tag of an item closes, and the elements it does not look beyond.
+ITEMS = {
+    "li": (frozenset({"li"}), frozenset({"ul", "ol"})),
+    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
+    "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
+    "tr": (frozenset({"tr", "td", "th"}), frozenset({"table", "thead", "tbody", "tfoot"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+ITEM_OF = {"li": "li", "dt": "dd", "dd": "dd", "td": "td", "th": "td", "tr": "tr", "option": "option"}
+ITEM_TAGS = frozenset().union(*(closed | border for closed, border in ITEMS.values()))
 AROUND = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion "
     "sidebar side menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer header masthead topbar "
@@ -57,66 +59,103 @@ AROUND = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations "
     "widget widgets toolbar search form skip".split()
 )
+# Words that leave the sense of a word above as it is.
+BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons card center column container content count footer group "
+    "header holder home icon icons inline inner item items js left link links list main message messages meta outer "
+    "page panel post posts primary reader readers region right row secondary section site slot small stories text "
+    "thread title top unit user users wrap wrapper".split()
+)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 ARTICLE_WORDS = frozenset("article content main post entry story".split())
 HEADERS = frozenset({"header", "banner", "masthead"})
+ARTICLES = frozenset({"article", "main"})
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "gone", "in_article", "named", "points", "chars", "linked", "order")
+    """An element; ``at`` is its place on the stack, ``block`` the nearest block element, itself included.
+
+    ``items`` gives the place of the open item that the next one of each kind would close.
+    ``gone``: never shown.  ``around``: named as a part around an article.  ``doubtful``: only
+    a part of its name says so.
+    """
 
-    def __init__(self, tag: str, parent: _Node | None, order: int):
-        self.tag, self.parent, self.order = tag, parent, order
+    __slots__ = (
+        "tag", "parent", "gone", "in_article", "named", "around", "doubtful", "points", "chars", "linked", "order",
+        "at", "block", "items",
+    )
+
+    def __init__(self, tag: str, parent: _Node | None, order: int, at: int):
+        self.tag, self.parent, self.order, self.at = tag, parent, order, at
         self.gone = parent.gone if parent else False
-        self.in_article = bool(parent and (parent.in_article or parent.tag in ("article", "main")))
-        self.named = False
+        self.in_article = bool(parent and (parent.in_article or parent.tag in ARTICLES))
+        self.named = self.around = self.doubtful = False
         self.points = 0.0
         self.chars = self.linked = 0
+        self.block: _Node = self if parent is None or tag in BLOCKS else parent.block
+        self.items: dict[str, int] = parent.items if parent else {}
+        if tag in ITEM_TAGS:
+            self.items = {k: v for k, v in self.items.items() if tag not in ITEMS[k][1]}
+            for kind, (closed, _) in ITEMS.items():
+                if tag in closed:
+                    self.items.setdefault(kind, at)
 
 
 def _judge(node: _Node, attributes: str) -> None:
-    """Marks elements that are not part of an article by name, class, id, role or hiding."""
+    """Marks elements that are not part of an article by tag, class, id, role or hiding."""
     tag = node.tag
-    if tag in DROPPED or (tag == "header" and not node.in_article):
+    if tag in DROPPED:
         node.gone = True
-        return
+    node.around = tag in AROUND_TAGS or (tag == "header" and not node.in_article)
     if not attributes or node.gone:
         return
+    plain = 0  # names without a word of the parts around an article
+    around = doubtful = False
     for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        key, value = (m[1] or "").lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             node.gone = True
-        elif key in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in NAME_PARTS.findall(value)}
-            bad = words & (ROLES if key == "role" else AROUND)
-            if node.in_article:
-                bad -= HEADERS
-            node.gone = node.gone or bool(bad)
-        if key in ("class", "id"):
-            node.named = node.named or bool({w.lower() for w in NAME_PARTS.findall(value)} & ARTICLE_WORDS)
-
-
-def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """The tree's nodes in page order, and the blocks with their innermost block element."""
-    root = _Node("#", None, 0)
+        elif key == "role":
+            around = around or bool(set(value.lower().split()) & (ROLES - HEADERS if node.in_article else ROLES))
+        elif key in ("class", "id"):
+            for name in value.split():
+                words = {w.lower() for w in NAME_PARTS.findall(name)}
+                bad = words & (AROUND - HEADERS if node.in_article else AROUND)
+                if not bad:
+                    plain += 1
+                    node.named = node.named or bool(words & ARTICLE_WORDS)
+                elif words <= AROUND | BESIDE:
+                    around = True
+                else:
+                    doubtful = True
+    if tag in ("html", "body", "main") or (tag == "article" and plain):
+        return
+    node.around = node.around or around
+    node.doubtful = doubtful and tag != "article"
+
+
+def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """The tree's nodes in page order, and the blocks: innermost block element, text, characters in links.
+
+    Time grows with the page's length alone, however broken its markup: no search starts
+    behind the last ``>``, and open elements are found by name and by kind, never by walking
+    up the stack.
+    """
+    root = _Node("#", None, 0, 0)
     nodes, stack, blocks = [root], [root], []
+    places: dict[str, list[int]] = defaultdict(list)  # of open elements, by name
     buffer: list[str] = []
     links = linked = 0  # open links; characters of the buffer in links
 
-    def flush(holder: _Node) -> None:
+    def flush() -> None:
         nonlocal linked
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                holder.chars += len(text)
-                holder.linked += min(linked, len(text))
-                blocks.append((holder, text))
+                blocks.append((stack[-1].block, text, min(linked, len(text))))
         linked = 0
 
-    def holder() -> _Node:
-        return next(n for n in reversed(stack) if n.tag in BLOCKS or n.tag == "#")
-
     def text_of(part: str) -> None:
         nonlocal linked
         if part and not stack[-1].gone:
@@ -128,67 +167,121 @@ def blocks_of(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
     def close_to(at: int) -> None:
         """Closes the element at this place of the stack and all inside it."""
         nonlocal links
-        if any(n.tag in BLOCKS for n in stack[at:]):
-            flush(holder())
-        links -= sum(n.tag == "a" for n in stack[at:])
-        del stack[at:]
+        if stack[-1].block.at >= at:
+            flush()
+        while len(stack) > at:
+            node = stack.pop()
+            if node.tag:
+                places[node.tag].pop()
+                links -= node.tag == "a"
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">") + 1
     while at < end:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, last)
         if not m:
-            text_of(page[at:])
+            comment = page.find("<!--", at)
+            text_of(page[at : comment if comment >= 0 else end])
             break
         text_of(page[at : m.start()])
         at = m.end()
         name = m[2] or m[5]
         if not name:
+            if at == last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             continue
         name = name.lower()
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    close_to(k)
-                    break
+            if places[name]:
+                node = stack[places[name][-1]]
+                if name in BLOCKS or node.gone or stack[-1].block.at < node.at:
+                    close_to(node.at)
+                else:  # blocks opened inside an inline element outlive it
+                    places[name].pop()
+                    links -= name == "a"
+                    node.tag = ""
             continue
         attributes = m[3] or m[6] or ""
-        if name in CLOSES:
-            closed, border = CLOSES[name]
-            k = len(stack) - 1
-            found = 0
-            while k > 0 and stack[k].tag not in border:
-                if stack[k].tag in closed:
-                    found = k
-                k -= 1
-            if found:
-                close_to(found)
-        if name in BLOCKS:
-            flush(holder())
-        elif name == "br":
+        if name in BLOCKS:  # every block closes a paragraph, so an open one is the nearest block
+            block = stack[-1].block
+            if block.tag == "p" and block.gone == stack[-1].gone:  # (not from inside what is never shown)
+                close_to(block.at)
+            flush()
+        kind = ITEM_OF.get(name)
+        if kind in stack[-1].items:
+            close_to(stack[-1].items[kind])
+        if name == "br":
             buffer.append(" ")
         if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            close = RAW_ENDS[name].search(page, at, last)
             at = close.end() if close else end
             continue
-        node = _Node(name, stack[-1], len(nodes))
+        node = _Node(name, stack[-1], len(nodes), len(stack))
         _judge(node, attributes)
         if attributes.rstrip().endswith("/") and name not in BLOCKS and name not in ("a", "b", "i", "span"):
             continue
         nodes.append(node)
+        places[name].append(len(stack))
         stack.append(node)
         links += name == "a"
-    flush(holder())
+    flush()
     return nodes, blocks
 
 
+RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*+>", re.I) for name in RAW}
+
+
+def _sum_up(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
+    """Characters and characters in links of every element."""
+    for node in nodes:
+        node.chars = node.linked = 0
+    for node, text, linked in blocks:
+        node.chars += len(text)
+        node.linked += linked
+    for node in reversed(nodes):  # parents come before children
+        if node.parent:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+
+
+def _left_out(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> list[bool]:
+    """Which elements, by ``order``, belong to the parts around the article.
+
+    A name decides alone only where all of it says so (``share-buttons``), and not where it
+    holds the page's only article.  Where a part says so (``share-price``), the element must
+    also hold no article and be mostly links, or short and outside an article.
+    """
+    _sum_up(nodes, blocks)
+    inside, article, within, holds = ([False] * len(nodes) for _ in range(4))
+    free = False  # an article stands outside all parts so named
+    for node in nodes:
+        k, up = node.order, node.parent.order if node.parent else 0
+        inside[k] = node.around or inside[up]
+        within[k] = article[up] or within[up]
+        article[k] = holds[k] = not node.around and (node.tag in ARTICLES or node.named)
+        free = free or (article[k] and not inside[k])
+    for node in reversed(nodes):
+        if node.parent and holds[node.order]:
+            holds[node.parent.order] = True
+    out = [False] * len(nodes)
+    for node in nodes:
+        k = node.order
+        only = holds[k] and not free and not within[k]
+        poor = not holds[k] and (2 * node.linked >= node.chars or (not within[k] and node.chars < 200))
+        out[k] = bool(node.parent and out[node.parent.order]) or (node.around and not only) or (node.doubtful and poor)
+    return out
+
+
 def main_blocks(page: str) -> list[str]:
     """The blocks of the article, in page order."""
     nodes, blocks = blocks_of(page)
+    out = _left_out(nodes, blocks)
+    blocks = [b for b in blocks if not out[b[0].order]]
     if not blocks:
         return []
-    for node, text in blocks:
+    _sum_up(nodes, blocks)
+    for node, text, _ in blocks:
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
         if len(text) < 25:
             points *= len(text) / 100
@@ -200,21 +293,21 @@ def main_blocks(page: str) -> list[str]:
             up.points += points * share
             share = 0.5 if level == 0 else 1 / (3 * (level + 1))
             up = up.parent
-    for node in reversed(nodes):
-        if node.parent:
-            node.parent.chars += node.chars
-            node.parent.linked += node.linked
+
+    def density(node: _Node) -> float:
+        return node.linked / max(1, node.chars)
 
     def score(node: _Node) -> float:
-        bonus = 1.25 if node.tag in ("article", "main") or node.named else 1.0
-        return bonus * node.points * (1 - node.linked / max(1, node.chars))
+        bonus = 1.25 if node.tag in ARTICLES or node.named else 1.0
+        return bonus * node.points * (1 - density(node))
 
     best = max(nodes, key=lambda n: (score(n), -n.order))
     if score(best) <= 0:
         return []
-    wanted, up, lifted = best, best, None
+    # the article that the best container belongs to, if that is text and not a list of links
+    up, lifted = best, None
     while up is not None:
-        if up.tag == "article" or (up.tag == "main" and lifted is None):
+        if density(up) < 0.5 and (up.tag == "article" or (up.tag == "main" and lifted is None)):
             lifted = up
         up = up.parent
     wanted = lifted or best
@@ -222,16 +315,15 @@ def main_blocks(page: str) -> list[str]:
     kept = {wanted}
     for node in nodes:
         if node.parent is wanted.parent and node is not wanted and node.chars:
-            density = node.linked / node.chars
-            alike = node.tag == wanted.tag and density < 0.5 and node.tag in ("article", "section", "div")
-            if density < 0.5 and (score(node) >= least or alike and score(node) > 0):
+            alike = node.tag == wanted.tag and node.tag in ("article", "section", "div")
+            if density(node) < 0.5 and (score(node) >= least or alike and score(node) > 0):
                 kept.add(node)
-            elif node.tag in PARAGRAPHS and density < 0.25 and wanted.tag not in ("article", "main"):
+            elif node.tag in PARAGRAPHS and density(node) < 0.25 and wanted.tag not in ARTICLES:
                 kept.add(node)
     inside: dict[int, bool] = {}
-    for node in nodes:  # parents come before children
+    for node in nodes:
         inside[node.order] = node in kept or bool(node.parent and inside[node.parent.order])
-    return [text for node, text in blocks if inside[node.order]]
+    return [text for node, text, _ in blocks if inside[node.order]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -239,8 +331,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The article's blocks joined by line feeds, white space inside a block as one space,
     character references decoded.  A null or empty page, or one without text outside the
-    parts around an article, gives the empty text.  Broken markup is read as far as it goes;
-    repeated rows and null ids or addresses are kept as they come.
+    parts around an article, gives the empty text.  Broken markup is read as far as it goes,
+    in time linear in the page's length; long pages are read whole.  Repeated rows and null
+    ids or addresses are kept as they come, an empty table gives none, other columns are not
+    looked at.
     """
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
