@@ -22,7 +22,7 @@ DIGEST = 32  # bytes of a SHA-256
 SHARD_KEYS = 100_000
 LEVELS = 64
 INDEX = "shard long, levels array<binary>, digests binary, keep_ids array<long>, keep_chars binary, sizes binary"
-FOUND = "digest binary, member boolean, keep_id long, group_size long"
+FOUND = "digest binary, member boolean, old_id long, old_chars long, old_size long"
 
 
 def without_space(text: Column) -> Column:
@@ -121,22 +121,25 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _look_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """New groups of one shard against the shard's slots."""
-    member = np.zeros(len(new), bool)
-    keep, size = new.keep_id.astype(object).to_list(), new["size"].to_numpy(np.int64).copy()
-    if len(new) and len(index):
+    """New groups of one shard against the shard's slots; members with the slot's winner."""
+    n = len(new)
+    member, size = np.zeros(n, bool), np.zeros(n, np.int64)
+    keep: list[int | None] = [None] * n
+    chars = np.full(n, -1, np.int64)
+    if n and len(index):
         shard = index.iloc[0]
         slots = PerfectHash(list(shard.levels)).slots(_joined(new.digest))
         known = np.frombuffer(shard.digests, np.uint8).reshape(-1, DIGEST)
         wanted = _joined(new.digest).reshape(-1, DIGEST)
         member = (slots >= 0) & (known[slots] == wanted).all(axis=1)
-        sizes, keep_ids = np.frombuffer(shard.sizes, "<i8"), shard.keep_ids
-        for k in np.flatnonzero(member):
-            keep[k] = keep_ids[slots[k]]
-        size[member] += sizes[slots[member]]
+        at = slots[member]
+        size[member] = np.frombuffer(shard.sizes, "<i8")[at]
+        chars[member] = np.frombuffer(shard.keep_chars, "<i8")[at]
+        for k, slot in zip(np.flatnonzero(member), at, strict=True):
+            keep[k] = shard.keep_ids[slot]
     keep = [None if k is None or pd.isna(k) else int(k) for k in keep]
     return pd.DataFrame(
-        {"digest": new.digest, "member": member, "keep_id": pd.array(keep, "Int64"), "group_size": size}
+        {"digest": new.digest, "member": member, "old_id": pd.array(keep, "Int64"), "old_chars": chars, "old_size": size}
     )
 
 
@@ -149,38 +152,77 @@ def _sharded(groups: DataFrame, shards: int) -> DataFrame:
     return groups.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
 
 
+def look_up(groups: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """`FOUND`: which digests the index has, and the winner and size that it holds for them."""
+    return (
+        _sharded(groups.select("digest"), shards).groupBy("shard").cogroup(index.groupBy("shard"))
+        .applyInPandas(_look_up, FOUND)
+    )
+
+
+def _answers(past: DataFrame, new: DataFrame) -> DataFrame:
+    """``digest, member, keep_id, group_size, old_id`` of the new groups, those of the history merged in.
+
+    A member's winner is the longer of its own and the history's, then the smaller id.
+    """
+    shards = max(1, ceil(max(new.count(), past.count()) / SHARD_KEYS))
+    found = look_up(new, build_index(past, shards), shards)
+    best = lambda chars, id_: F.struct(F.col(chars).alias("chars"), F.bitwise_not(id_).alias("rest"))
+    winner = F.greatest(best("chars", "keep_id"), F.when(F.col("member"), best("old_chars", "old_id")))
+    return new.join(found, "digest").select(
+        "digest", "member", F.bitwise_not(winner["rest"]).alias("keep_id"),
+        (F.col("size") + F.col("old_size")).alias("group_size"), "old_id",
+    )
+
+
+def _judged(keys: DataFrame, answers: DataFrame) -> DataFrame:
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    return keys.join(answers.select("digest", "keep_id", "group_size"), "digest").select(
+        "doc_id", "keep_id", "group_size", same.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    )
+
+
+def merged(history: DataFrame, new: DataFrame) -> DataFrame:
+    """`dedup` of two parts of one table, both from `keyed`, as if they were looked at together.
+
+    The hash is built over the digests of the first part, those of the second are looked up.
+    Nonmembers group among themselves; groups in both have one winner.
+    """
+    past, fresh = written(winners(history), "exact-history"), written(winners(new), "exact-groups")
+    answers = written(_answers(past, fresh), "exact-answers")
+    only_past = past.join(answers.where("member"), "digest", "left_anti").select(
+        "digest", "keep_id", F.col("size").alias("group_size")
+    )
+    return _judged(history.unionByName(new), answers.select("digest", "keep_id", "group_size").unionByName(only_past))
+
+
 def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Group equal texts: ``doc_id, keep_id, group_size, kept, text_sha256``, one row per row.
 
     Texts are equal if they are the same without ``[\\x20\\x09-\\x0D]``; null counts as empty.
-    Without ``history``, the table is its own history: the row with the longest original
-    text, then the smallest ``doc_id``, stays.  With it, a text that the history has is a
-    repeat of the history's winner and goes, other texts group among themselves; a
-    ``group_size`` counts both tables.  Rows that repeat a ``doc_id`` are counted as rows and
-    share its ``kept``; a null id loses against any other of the same length, and stays (null
-    ``keep_id``) only where a group has no other.  An empty table gives no rows.
+    Without ``history``, the lower half of the ids (by approximate median) is the history of
+    the rest, and both are judged alike: the row with the longest original text, then the
+    smallest ``doc_id``, stays.  With it, a text that the history has is a repeat of the
+    history's winner and goes, other texts group among themselves; a ``group_size`` counts
+    both tables.  Rows that repeat a ``doc_id`` are counted as rows and share its ``kept``; a
+    null id loses against any other of the same length, and stays (null ``keep_id``) only
+    where a group has no other.  An empty table gives no rows; long texts are digested whole,
+    other columns are not looked at.
 
     Digests are grouped before anything is looked up, so a text with a third of all rows is
     one lookup; bringing the answer back to its rows is an ordinary join on the digest, whose
     skew adaptive execution splits.
     """
     keys = written(keyed(docs), "exact-keys")
-    new = written(winners(keys), "exact-groups")
-    past = new if history is None else written(winners(keyed(history)), "exact-history")
-    shards = max(1, ceil(max(new.count(), past.count()) / SHARD_KEYS))
-    index = build_index(past, shards)
     if history is None:
-        counted = new.withColumn("size", F.lit(0).cast("long"))
-    else:
-        counted = new
-    found = (
-        _sharded(counted, shards).groupBy("shard").cogroup(index.groupBy("shard"))
-        .applyInPandas(_look_up, FOUND)
-    )
+        middle = keys.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))
+        return merged(keys.where(old), keys.where(~old))
+    past, new = written(winners(keyed(history)), "exact-history"), written(winners(keys), "exact-groups")
+    answers = _answers(past, new).withColumn("keep_id", F.when(F.col("member"), F.col("old_id")).otherwise(F.col("keep_id")))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    stays = same if history is None else same & ~F.col("member")
-    return keys.join(found, "digest").select(
-        "doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    return keys.join(answers, "digest").select(
+        "doc_id", "keep_id", "group_size", (same & ~F.col("member")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
