@@ -82,6 +82,24 @@ def test_exact_dedup_against_a_history(docs):
             assert not found[r.doc_id].kept and found[r.doc_id].keep_id % 2 == 1
 
 
+@pytest.mark.parametrize("bound", [None, -10_000, 0, 77, 10_000])
+def test_any_part_of_a_table_may_be_its_history(docs, bound):
+    want = {tuple(r) for r in exact_dedup.dedup(docs).collect()}
+    history = docs.where("false") if bound is None else docs.where(F.col("doc_id") < bound)
+    new = docs if bound is None else docs.where(F.col("doc_id") >= bound)
+    found = exact_dedup.merged(exact_dedup.keyed(history), exact_dedup.keyed(new))
+    assert {tuple(r) for r in found.collect()} == want
+
+
+def test_members_and_nonmembers_are_told_apart(docs):
+    old = exact_dedup.winners(exact_dedup.keyed(docs.where("doc_id % 2 = 0")))
+    new = exact_dedup.winners(exact_dedup.keyed(docs.where("doc_id % 2 <> 0")))
+    known = {bytes(r.digest) for r in old.collect()}
+    found = exact_dedup.look_up(new, exact_dedup.build_index(old, 3), 3).collect()
+    assert {bytes(r.digest) for r in found if r.member} == {bytes(r.digest) for r in new.collect()} & known
+    assert any(r.member for r in found) and not all(r.member for r in found)
+
+
 def test_quality_counts(docs, pairs):
     found = by_id(quality.judge(docs))
     for i, text in pairs:
@@ -204,13 +222,48 @@ def test_strings_of_special_tokens_are_what_the_library_makes_of_them(file, kind
 
 def test_damaged_records_are_noticed():
     record = token_files.frame(5, np.arange(9, dtype="<u2").tobytes(), 2)
-    good = record + b"\n"
-    assert [r[0] for r in token_files.parse(good)] == [5]
-    for place in range(len(record)):
+    good = record + record + b"\n"
+    assert [(r[0], r[1]) for r in token_files.parse(good)] == [(5, 0), (5, len(record))]
+    for place in range(len(good)):
         bad = bytearray(good)
         bad[place] ^= 1
-        with pytest.raises(Exception):
+        with pytest.raises(ValueError):
             list(token_files.parse(bytes(bad)))
+        with pytest.raises(ValueError):
+            list(token_files.parse(good[: place]))
+
+
+def test_files_are_bounded_by_bytes_and_read_in_any_order(spark, docs, pairs, tmp_path):
+    import os
+
+    folder, index = f"{tmp_path}/records", f"{tmp_path}/index"
+    token_files.write_token_files(docs, tokenizer_file("byte_bpe_50k.json"), END_ID, folder, bytes_per_file=50_000)
+    token_files.write_index(spark, folder, index)
+    places = spark.read.parquet(index)
+    longest = places.agg(F.max("record_bytes")).first()[0]
+    sizes = [os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part")]
+    assert max(sizes) <= 50_000 + longest and len([s for s in sizes if s]) >= sum(sizes) // (50_000 + longest)
+    shuffled = places.repartition(3).sortWithinPartitions(F.xxhash64("doc_id", F.lit(7))).persist()
+    wanted = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in shuffled.collect()]
+    read = token_files.read_at(shuffled, folder).collect()
+    assert [(r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in read] == wanted
+    assert sorted(d for d, _, _ in wanted) == [i for i, _ in pairs] and wanted != sorted(wanted)
+    at = 0
+    for row in sorted(places.collect(), key=lambda r: r.doc_id):
+        assert row.start == at
+        at += row.n_tokens
+
+
+def test_many_rows_without_an_id_are_spread(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'the same text' AS text")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        token_files.write_token_files(rows, tokenizer_file("byte_bpe_50k.json"), END_ID, f"{tmp_path}/records")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    read = token_files.read_token_files(spark, f"{tmp_path}/records").groupBy("file").count().collect()
+    assert sum(r["count"] for r in read) == 2000 and max(r["count"] for r in read) < 500
 
 
 def test_toxicity_on_held_out_documents(spark):
