@@ -16,7 +16,7 @@ from tripleflow.operators.joins import (
 from tripleflow.operators.match import share_scan
 from tripleflow.patterns import DEFAULT_QUERY, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
-from tripleflow.plans.domain import domain_cardinality, variable_domains
+from tripleflow.plans.domain import domain_cardinality, sketched_domains, variable_domains
 from tripleflow.sources.triples import triple_universe
 
 
@@ -166,6 +166,26 @@ def test_domain_estimates(spark, universe):
     }
 
 
+@pytest.mark.parametrize("query", ["?a_foo_?b", "?a_foo_?a", "?a_?a_?a", "?e_?d_?b^?a_?d_?b"])
+def test_sketches_of_few_values_are_exact(universe, query):
+    found = sketched_domains(universe, patterns(query))
+    assert {tuple(r) for r in found.collect()} == {(*r, 0.0) for r in variable_domains(universe, patterns(query)).collect()}
+    assert domain_cardinality(universe, patterns(query), 12).first() == domain_cardinality(universe, patterns(query)).first()
+    assert domain_cardinality(universe.where("false"), patterns(query), 12).first()["n_rows"] == 0
+
+
+def test_sketches_of_many_values_keep_their_bound(spark):
+    subj = "concat('v', id % 30000)", "concat('v', id * 7 % 50000 + 15000)", "id"
+    for k in range(4):
+        triples = spark.range(60_000).selectExpr(f"concat('{k}', {subj[0]}) AS subj", "id AS pred", f"concat('{k}', {subj[1]}) AS obj")
+        query = patterns("?a_p_?b^?b_?k_?c")
+        exact = dict(map(tuple, variable_domains(triples.selectExpr("subj", "cast(pred AS string) AS pred", "obj"), query).collect()))
+        found = sketched_domains(triples, query, 10)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+        for name, n, error in found.collect():
+            assert 0 < error < exact[name] and abs(n - exact[name]) <= error, name
+
+
 def test_shared_scan_reads_the_source_once(universe, rows):
     query = patterns([*DEFAULT_QUERY, "?x_foo_?b", "A_foo_1"])
     shared = share_scan(universe, query)

@@ -14,7 +14,7 @@ from tripleflow.operators.joins import cross, multi_join, natural_join
 from tripleflow.operators.match import match, match_each, share_scan
 from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
-from tripleflow.plans.domain import domain_cardinality, variable_domains
+from tripleflow.plans.domain import domain_cardinality, sketched_domains, variable_domains
 from tripleflow.plans.reduce import bgp_reduced, reduce_relations
 from tripleflow.sources.tables import event_triples, star_triples, table
 from tripleflow.sources.triples import triple_universe
@@ -308,3 +308,9 @@ def _domain(spark: SparkSession, d: str) -> DataFrame:
 @query("agg5_variable_domains", f"{_DOMAIN} SELECT variable, n_values FROM sizes")
 def _variable_domains(spark: SparkSession, d: str) -> DataFrame:
     return variable_domains(star_triples(spark, d), _DOMAIN_PATTERNS)
+
+
+@query("agg5_sketched_domains", f"{_DOMAIN} SELECT variable, n_values FROM sizes")
+def _sketched_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Exact as long as no position has more than 65,536 values."""
+    return sketched_domains(star_triples(spark, d), _DOMAIN_PATTERNS).select("variable", "n_values")
