@@ -22,6 +22,7 @@ from tripleflow.sources.workdir import fresh_folder
 from tripleflow.streaming.fold import Folders, State, bucket_of
 from tripleflow.streaming import (
     delta_schema,
+    read_count_table,
     read_output,
     run_to_end,
     stream_bgp,
@@ -122,7 +123,7 @@ def test_stream_counts(spark, events, source):
     pats = patterns(["?u_click_?v", "?u_view_?v"])
     folder = fresh_folder(spark, "out")
     run_to_end(stream_count_table(match_each(source, pats), f"{folder}/n", f"{folder}/checkpoint"))
-    got = {r["pattern_id"]: r["n"] for r in spark.read.parquet(f"{folder}/n").collect()}
+    got = {r["pattern_id"]: r["n"] for r in read_count_table(spark, f"{folder}/n").collect()}
     assert got == {i: match(events, p).count() for i, p in enumerate(pats)}
 
 

@@ -22,6 +22,7 @@ from tripleflow.operators.match import (
     match_shared,
     match_streams,
 )
+from tripleflow.operators.pattern_table import match_table
 from tripleflow.patterns import pattern, patterns
 from tripleflow.sources.tables import event_triples
 
@@ -136,6 +137,39 @@ def _shared_plain(spark: SparkSession, d: str) -> DataFrame:
     return count_each(match_shared(nine_triples(spark, d), pats))
 
 
+def patterns_from_events(triples: DataFrame) -> DataFrame:
+    """A pattern table as large as the data: per user, per pair of event type and object, and more."""
+
+    def table(kind: str, columns: list[str], subj: str, pred: str, obj: str) -> DataFrame:
+        ident = F.concat_ws(":", F.lit(kind), *columns)
+        parts = [F.expr(e).alias(p) for e, p in ((subj, "subj"), (pred, "pred"), (obj, "obj"))]
+        return triples.select(*columns).distinct().select(ident.alias("pattern_id"), *parts)
+
+    return (
+        table("user", ["subj"], "subj", "'?p'", "'?v'")
+        .unionAll(table("pair", ["pred", "obj"], "'?u'", "pred", "obj"))
+        .unionAll(table("pred", ["pred"], "'?b'", "pred", "'?a'"))
+        .unionAll(table("twice", ["pred"], "'?x'", "pred", "'?x'"))
+        .unionAll(table("whole", ["subj", "pred", "obj"], "subj", "pred", "obj").where("pred = 'error'"))
+    )
+
+
+def _pattern_rows(triples: str) -> str:
+    return f"""WITH {triples}, found AS (
+  SELECT seq, subj, 'user' AS kind, 'user:' || subj AS pattern_id, '{{?p=' || pred || ', ?v=' || obj || '}}' AS bindings FROM ev
+  UNION ALL SELECT seq, subj, 'pair', 'pair:' || pred || ':' || obj, '{{?u=' || subj || '}}' FROM ev
+  UNION ALL SELECT seq, subj, 'pred', 'pred:' || pred, '{{?a=' || obj || ', ?b=' || subj || '}}' FROM ev
+  UNION ALL SELECT seq, subj, 'twice', 'twice:' || pred, '{{?x=' || subj || '}}' FROM ev WHERE subj = obj
+  UNION ALL SELECT seq, subj, 'whole', 'whole:' || subj || ':' || pred || ':' || obj, '{{}}' FROM ev WHERE pred = 'error')"""
+
+
+@query("flt8_table", f"{_pattern_rows(_PLAIN)} SELECT seq, pattern_id, bindings FROM found")
+def _pattern_table(spark: SparkSession, d: str) -> DataFrame:
+    triples = nine_triples(spark, d)
+    tagged = match_table(triples, patterns_from_events(triples), keep=["seq"])
+    return tagged.withColumn("bindings", render_map(F.col("bindings")))
+
+
 _IDS = "(SELECT unnest(range(9)) AS pattern_id)"
 _COUNTS = f"""{_NINE_ROWS}
 SELECT CAST(i.pattern_id AS INTEGER) AS pattern_id, count(n.pattern_id) AS n

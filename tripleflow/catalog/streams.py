@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleflow.catalog.matching import _COUNTS, NINE
+from tripleflow.catalog.matching import _COUNTS, NINE, _pattern_rows, patterns_from_events
 from tripleflow.catalog.ordering import (
     _PAIRS,
     CAPACITY,
@@ -19,10 +21,18 @@ from tripleflow.operators.counts import publish
 from tripleflow.operators.match import match
 from tripleflow.patterns import pattern, patterns
 from tripleflow.sources.lines import read_lines
-from tripleflow.sources.tables import event_stream, event_stream_in_batches
+from tripleflow.sources.tables import (
+    SCHEMAS,
+    event_stream,
+    event_stream_in_batches,
+    event_triples,
+    events_as_triples,
+    table,
+)
 from tripleflow.sources.workdir import fresh_folder
 from tripleflow.streaming import (
     delta_schema,
+    read_count_table,
     read_output,
     run_to_end,
     stream_bgp,
@@ -31,10 +41,13 @@ from tripleflow.streaming import (
     stream_collect,
     stream_count_table,
     stream_match_each,
+    stream_match_table,
     stream_pair_up,
     stream_pair_up_obj_subj,
+    stream_queries,
     stream_row_counts,
     stream_threshold,
+    stream_window_counts,
 )
 
 
@@ -74,12 +87,103 @@ def _stream_bgp_delta(spark: SparkSession, d: str) -> DataFrame:
     return read_output(events, folder, delta_schema(_JOIN_PATTERNS))
 
 
+_STANDING = {
+    "bought": _JOIN_PATTERNS,
+    "failed": patterns(["?u_error_?w", "?u_view_?w"]),
+    "shown": patterns(["?u_click_?v", "?u_view_?v"]),
+}
+
+
+@query(
+    "str2_shared_read",
+    f"""WITH {EVENTS}
+SELECT 'bought' AS query, a.subj AS u, a.obj AS x {_JOINED}
+UNION ALL SELECT 'failed', a.subj, a.obj FROM ev a JOIN ev b ON a.subj = b.subj AND a.obj = b.obj
+WHERE a.pred = 'error' AND b.pred = 'view'
+UNION ALL SELECT 'shown', a.subj, a.obj FROM ev a JOIN ev b ON a.subj = b.subj AND a.obj = b.obj
+WHERE a.pred = 'click' AND b.pred = 'view'""",
+)
+def _stream_shared_read(spark: SparkSession, d: str) -> DataFrame:
+    folder = fresh_folder(spark, "stream")
+    events = event_stream_in_batches(spark, d)
+    run_to_end(stream_queries(events, _STANDING, folder, buckets=8))
+    found = [
+        read_output(events, f"{folder}/{name}", delta_schema(pats)).select(
+            F.lit(name).alias("query"), "u", F.col("w" if name == "failed" else "v").alias("x")
+        )
+        for name, pats in _STANDING.items()
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query(
+    "str7_changing_patterns",
+    f"""{_pattern_rows(EVENTS)}, half AS (SELECT (min(event_id) + max(event_id)) // 2 AS middle FROM events)
+SELECT seq, pattern_id, bindings, CAST(CASE WHEN seq <= middle THEN 1 ELSE 2 END AS BIGINT) AS version FROM found, half
+WHERE CASE WHEN seq <= middle THEN kind <> 'pred' ELSE kind <> 'user' OR length(subj) <> 2 END""",
+)
+def _changing_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns by predicate come, and those of users of one digit go, between the halves of the stream."""
+    folder = fresh_folder(spark, "stream")
+    events = table(spark, d, "events")
+    half = events.agg(F.expr("(min(event_id) + max(event_id)) div 2")).first()[0]
+    pats = patterns_from_events(event_triples(spark, d)).withColumn("removed", F.lit(False))
+    by_pred = F.col("pattern_id").startswith("pred:")
+    of_one_digit = F.col("pattern_id").startswith("user:") & (F.length("subj") == 2)
+    second = pats.where(by_pred).unionByName(pats.where(of_one_digit).withColumn("removed", F.lit(True)))
+    later = F.col("event_id") > half
+    steps = [(pats.where(~by_pred), events.where(~later)), (second, events.where(later))]
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("recursiveFileLookup", "true")
+    for version, (changes, rows) in enumerate(steps, start=1):
+        changes.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{folder}/log")
+        rows.write.parquet(f"{folder}/events/{version}")
+        triples = events_as_triples(stream.parquet(f"{folder}/events"))
+        run_to_end(stream_match_table(triples, lambda s: s.read.parquet(f"{folder}/log"), folder, ["seq"]))
+    schema = "seq bigint, pattern_id string, bindings map<string,string>, version bigint"
+    return read_output(triples, folder, schema).withColumn("bindings", render_map(F.col("bindings")))
+
+
 @query("str3_counts", _COUNTS.replace("LEFT JOIN", "JOIN"))
 def _stream_counts(spark: SparkSession, d: str) -> DataFrame:
     folder = fresh_folder(spark, "stream")
     tagged = stream_match_each(event_stream_in_batches(spark, d, prefix=""), NINE)
     run_to_end(stream_count_table(tagged, f"{folder}/counts", f"{folder}/checkpoint"))
-    return spark.read.schema("pattern_id int, n bigint").parquet(f"{folder}/counts")
+    return read_count_table(spark, f"{folder}/counts")
+
+
+@query("str3_counts_listed", _COUNTS)
+def _stream_counts_listed(spark: SparkSession, d: str) -> DataFrame:
+    folder = fresh_folder(spark, "stream")
+    tagged = stream_match_each(event_stream_in_batches(spark, d, prefix=""), NINE)
+    every = spark.range(len(NINE)).select(F.col("id").cast("int").alias("pattern_id"))
+    run_to_end(stream_count_table(tagged, f"{folder}/counts", f"{folder}/checkpoint", listed=every))
+    return read_count_table(spark, f"{folder}/counts")
+
+
+# Errors are stamped with the time twelve days before they arrive.  A row is late when its
+# window ended before what the batches up to the last but one had reached.
+_WINDOWS = """WITH bounds AS (SELECT min(event_id) AS low, (max(event_id) - min(event_id) + 4) // 4 AS width FROM events),
+stamped AS (
+  SELECT event_type AS pred, (event_id - low) // width AS batch,
+         CASE WHEN event_type = 'error' THEN ts - INTERVAL 12 DAY ELSE ts END AS happened
+  FROM events, bounds),
+reached AS (
+  SELECT batch, max(max(happened)) OVER (ORDER BY batch) - INTERVAL 1 DAY AS mark FROM stamped GROUP BY batch),
+dealt AS (
+  SELECT s.pred, time_bucket(INTERVAL 6 HOUR, s.happened) AS begun, r.mark
+  FROM stamped s LEFT JOIN reached r ON r.batch = s.batch - 2)
+SELECT pred, strftime(begun, '%Y-%m-%d %H:%M') AS begun, count(*) AS n FROM dealt
+WHERE (mark IS NULL OR begun + INTERVAL 6 HOUR > mark)
+  AND begun + INTERVAL 6 HOUR <= (SELECT max(mark) FROM reached)
+GROUP BY 1, 2"""
+
+
+@query("str3_windows", _WINDOWS)
+def _stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    reported = F.when(F.col("pred") == "error", F.col("ts") - F.expr("INTERVAL 12 DAYS")).otherwise(F.col("ts"))
+    events = event_stream_in_batches(spark, d).withColumn("ts", reported)
+    counts = stream_window_counts(events, "ts", "6 hours", "1 day", ["pred"])
+    return _collected(counts).select("pred", F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("begun"), "n")
 
 
 @query("str3_join_counts", f"WITH {EVENTS} SELECT a.subj AS u, count(*) AS n {_JOINED} GROUP BY a.subj")

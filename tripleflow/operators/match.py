@@ -76,7 +76,7 @@ def _tagged(pats: Sequence[Pattern]) -> Column:
     return F.array(*entries)
 
 
-def _fits_any(triples: DataFrame, pats: Sequence[Pattern]) -> DataFrame:
+def fits_any(triples: DataFrame, pats: Sequence[Pattern]) -> DataFrame:
     """The triples at least one pattern wants; a test on constants that reaches the scan."""
     return triples.where(reduce(Column.__or__, [condition(p) for p in pats], F.lit(False)))
 
@@ -95,7 +95,7 @@ def share_scan(
     folder = folder or fresh_folder(spark, "shared-scan")
     forms = list(dict.fromkeys(canonical(p) for p in pats))
     fitting = F.array(*[F.when(condition(f), F.lit(i)) for i, f in enumerate(forms)])
-    parted = _fits_any(triples, forms).withColumn("_part", F.explode(fitting))
+    parted = fits_any(triples, forms).withColumn("_part", F.explode(fitting))
     parted.where(F.col("_part").isNotNull()).write.partitionBy("_part").parquet(folder)
     # The partition column is in the folder names: a pattern's filter on it prunes the rest.
     stored = spark.read.schema(
@@ -108,7 +108,7 @@ def share_scan(
 
 def match_each(triples: DataFrame, pats: Sequence[Pattern], keep: Sequence[str] = ()) -> DataFrame:
     """One row per triple and fitting pattern: ``pattern_id, bindings``.  One scan for all."""
-    tagged = _fits_any(triples, pats).select(*keep, F.explode(_tagged(pats)).alias("_hit"))
+    tagged = fits_any(triples, pats).select(*keep, F.explode(_tagged(pats)).alias("_hit"))
     return tagged.where(F.col("_hit").isNotNull()).select(*keep, "_hit.*")
 
 
@@ -117,7 +117,7 @@ def match_packed(
 ) -> DataFrame:
     """One row per triple that fits at least one pattern: ``all_bindings`` by pattern id."""
     packed = F.map_from_entries(F.array_compact(_tagged(pats))).alias("all_bindings")
-    return _fits_any(triples, pats).select(*keep, packed)
+    return fits_any(triples, pats).select(*keep, packed)
 
 
 def match_streams(

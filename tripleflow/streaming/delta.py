@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tripleflow.operators.joins import natural_join, shared_columns
-from tripleflow.operators.match import MATCHED, match
+from tripleflow.operators.match import MATCHED, Triples, match
 from tripleflow.patterns import Pattern, connected_order, numbered, output_names, variables
 from tripleflow.streaming.fold import (
     AVAILABLE_NOW,
@@ -61,6 +61,53 @@ class Memory:
         return T.StructType([*rows.schema.fields, T.StructField(BUCKET, T.IntegerType())])
 
 
+class DeltaQuery:
+    """One conjunctive query, its memories and its output, all below ``base``."""
+
+    def __init__(
+        self,
+        pats: Sequence[Pattern],
+        base: str,
+        allow_cross: bool = False,
+        names: dict[str, str] | None = None,
+        buckets: int = BUCKETS,
+    ):
+        self.pats, self.base, self.buckets = list(pats), base, buckets
+        if not self.pats:
+            raise ValueError("a query needs at least one pattern")
+        self.inner, self.plan_names = numbered(self.pats)
+        binding = [p for p in self.inner if variables(p)]
+        parts = connected_order([variables(p) for p in binding])
+        if len(parts) > 1 and not allow_cross:
+            raise ValueError("the patterns fall into parts that share no variable; pass allow_cross=True to build their product")
+        self.order = [binding[i] for part in parts for i in part] + [p for p in self.inner if not variables(p)]
+        self.outer = output_names(self.plan_names, names)
+
+    def _memories(self, k: int, left: DataFrame, right: DataFrame) -> tuple[Memory, Memory]:
+        on = shared_columns(left, right)
+        place = f"{self.base}/memory"
+        return Memory(f"{place}/joined-{k - 1}", on, self.buckets), Memory(f"{place}/pattern-{k}", on, self.buckets)
+
+    def take(self, triples: Triples, batch_id: int) -> None:
+        """Remember a micro-batch and write the rows it completes."""
+        if not isinstance(triples, DataFrame):
+            triples = {i: triples[p] for i, p in zip(self.inner, self.pats, strict=True)}
+        found = match(triples, self.order[0])
+        for k, pat in enumerate(self.order[1:], start=1):
+            right = match(triples, pat)
+            joined, seen = self._memories(k, found, right)
+            new_left, new_right = joined.add(found, batch_id), seen.add(right, batch_id)
+            old_right = seen.before(right, batch_id, joined.touched_by(new_left, batch_id))
+            old_left = joined.before(found, batch_id, seen.touched_by(new_right, batch_id))
+            every_right = new_right if old_right is None else new_right.unionByName(old_right)
+            found = natural_join(new_left, every_right)
+            if old_left is not None:
+                found = found.unionByName(natural_join(old_left, new_right))
+        if self.plan_names:
+            found = found.select(*[F.col(c).alias(self.outer[v]) for v, c in self.plan_names.items()])
+        found.write.mode("overwrite").parquet(f"{self.base}/output/batch={batch_id}")
+
+
 def stream_bgp_delta(
     triples: DataFrame,
     pats: Sequence[Pattern],
@@ -78,38 +125,12 @@ def stream_bgp_delta(
     which a repeated batch overwrites; `read_output` reads them all.  ``buckets`` and the
     patterns must stay the same for the life of ``base``.
     """
-    pats = list(pats)
-    if not pats:
-        raise ValueError("a query needs at least one pattern")
-    inner, plan_names = numbered(pats)
-    parts = connected_order([variables(p) for p in inner if variables(p)])
-    if len(parts) > 1 and not allow_cross:
-        raise ValueError("the patterns fall into parts that share no variable; pass allow_cross=True to build their product")
-    binding = [p for p in inner if variables(p)]
-    order = [binding[i] for part in parts for i in part] + [p for p in inner if not variables(p)]
-    outer = output_names(plan_names, names)
-
-    def memories(k: int, left: DataFrame, right: DataFrame) -> tuple[Memory, Memory]:
-        on = shared_columns(left, right)
-        return Memory(f"{base}/memory/joined-{k - 1}", on, buckets), Memory(f"{base}/memory/pattern-{k}", on, buckets)
+    query = DeltaQuery(pats, base, allow_cross, names, buckets)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            found = match(held, order[0])
-            for k, pat in enumerate(order[1:], start=1):
-                right = match(held, pat)
-                joined, seen = memories(k, found, right)
-                new_left, new_right = joined.add(found, batch_id), seen.add(right, batch_id)
-                old_right = seen.before(right, batch_id, joined.touched_by(new_left, batch_id))
-                old_left = joined.before(found, batch_id, seen.touched_by(new_right, batch_id))
-                every_right = new_right if old_right is None else new_right.unionByName(old_right)
-                found = natural_join(new_left, every_right)
-                if old_left is not None:
-                    found = found.unionByName(natural_join(old_left, new_right))
-            if plan_names:
-                found = found.select(*[F.col(c).alias(outer[v]) for v, c in plan_names.items()])
-            found.write.mode("overwrite").parquet(f"{base}/output/batch={batch_id}")
+            query.take(held, batch_id)
         finally:
             held.unpersist()
 

@@ -109,6 +109,12 @@ class State:
         return State(self.spark, self.folders, self.schema, live)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def _drop_unnamed(before: State, now: State, earlier: State) -> None:
     """Delete bucket folders that neither the last manifest nor the one before names.
 
@@ -116,8 +122,7 @@ def _drop_unnamed(before: State, now: State, earlier: State) -> None:
     """
     named = {*before.files().values(), *now.files().values()}
     for path in set(earlier.files().values()) - named:
-        place = now.spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(now.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+        drop_folder(now.spark, path)
 
 
 def fold_batches(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +12,7 @@ from tripleflow.operators.joins import CELLS, bound_within, shared_columns, spre
 from tripleflow.operators.match import MATCHED, match, match_each
 from tripleflow.patterns import Pattern, numbered, output_names
 from tripleflow.plans.bgp import bgp
-from tripleflow.streaming.fold import AVAILABLE_NOW, Trigger
+from tripleflow.streaming.fold import AVAILABLE_NOW, Trigger, drop_folder
 
 stream_match = match
 stream_match_each = match_each
@@ -72,11 +72,21 @@ def stream_count_table(
     checkpoint: str,
     by: str = "pattern_id",
     trigger: Trigger = AVAILABLE_NOW,
+    listed: DataFrame | None = None,
 ) -> StreamingQuery:
-    """`stream_counts` kept as a table that each micro-batch replaces."""
+    """`stream_counts` kept as a table, a version of it per micro-batch; see `read_count_table`.
+
+    ``listed`` has the values of ``by`` that are always in the table, with 0 for those
+    without rows.  The last two versions stay, so a reader of one is not cut off.
+    """
 
     def on_batch(counts: DataFrame, batch_id: int) -> None:
-        counts.write.mode("overwrite").parquet(path)
+        if listed is not None:
+            every = listed.select(by).distinct()
+            counts = every.join(counts, by, "full").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id > 1:
+            drop_folder(counts.sparkSession, f"{path}/version={batch_id - 2}")
 
     return (
         stream_counts(tagged, by)
@@ -88,6 +98,13 @@ def stream_count_table(
     )
 
 
+def read_count_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a count table; a version being written cannot be seen."""
+    stored = spark.read.parquet(path)
+    newest = stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == newest).drop("version")
+
+
 def stream_row_counts(
     results: DataFrame,
     path: str,
