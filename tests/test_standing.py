@@ -1,5 +1,6 @@
 """Patterns as a table, queries over one read of a stream, windows of event time."""
 
+import glob
 import os
 from collections import Counter
 from datetime import datetime, timedelta
@@ -13,6 +14,7 @@ from tripleflow.operators.match import match_each
 from tripleflow.operators.pattern_table import match_table, patterns_at
 from tripleflow.patterns import DEFAULT_QUERY, patterns
 from tripleflow.plans.bgp import bgp
+from tripleflow.sources.lines import enqueue_lines, queue_lines
 from tripleflow.sources.tables import event_triples
 from tripleflow.sources.triples import triple_universe
 from tripleflow.sources.workdir import fresh_folder
@@ -165,3 +167,38 @@ def test_windows_of_a_table(spark):
     rows = [("a", datetime(2024, 1, 1, h)) for h in (0, 1, 5)]
     counts = stream_window_counts(spark.createDataFrame(rows, "k string, at timestamp"), "at", "2 hours", "1 hour", slide="1 hour")
     assert sorted(r["n"] for r in counts.collect()) == [1, 1, 1, 1, 2]
+
+
+def test_a_queue_is_emptied_after_commits_and_delivers_each_line_once(spark):
+    """The second batch fails once; its files are still there and come again."""
+    folder, out = fresh_folder(spark, "queue"), fresh_folder(spark, "out")
+    lines = [f"A_foo_{i}" for i in range(6)]
+    for k in range(3):
+        part = spark.createDataFrame([(x,) for x in lines[2 * k:2 * k + 2]], "line string").coalesce(1)
+        enqueue_lines(part, folder, str(k))
+        enqueue_lines(part, folder, str(k))  # a repeated step changes nothing
+    failures = []
+
+    def run(fail_at):
+        def on_batch(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+            if batch_id == fail_at and not failures:
+                failures.append(batch_id)
+                raise RuntimeError("killed")
+
+        stream = queue_lines(spark, folder, files_per_batch=1)
+        return (
+            stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+
+    with pytest.raises(Exception):
+        run(1).awaitTermination()
+    assert failures == [1]
+    assert len(glob.glob(f"{folder}/*/part-*")) >= 2  # what was not committed is still there
+    run(None).awaitTermination()
+    enqueue_lines(spark.createDataFrame([("B_foo_1",)], "line string").coalesce(1), folder, "3")
+    run(None).awaitTermination()
+    got = sorted(r["line"] for r in spark.read.parquet(f"{out}/rows").collect())
+    assert got == [*lines, "B_foo_1"]
+    assert len(glob.glob(f"{folder}/*/part-*")) <= 2

@@ -42,7 +42,8 @@ from tripleflow.patterns import DEFAULT_QUERY, pattern, patterns
 from tripleflow.plans.bgp import bgp, bgp_grouped, count_bgp
 from tripleflow.plans.reduce import bgp_reduced, reduce_relations
 from tripleflow.plans.domain import domain_cardinality
-from tripleflow.sources.lines import clean_lines, read_lines
+from tripleflow.operators.pattern_table import match_table, patterns_at
+from tripleflow.sources.lines import clean_lines, enqueue_lines, queue_lines, read_lines
 from tripleflow.sources.triples import (
     kv_triples,
     parse_kv,
@@ -71,6 +72,7 @@ __all__ = [
     "count_patterns",
     "cross",
     "domain_cardinality",
+    "enqueue_lines",
     "first_and_last",
     "kv_triples",
     "match",
@@ -78,6 +80,7 @@ __all__ = [
     "match_packed",
     "match_shared",
     "match_streams",
+    "match_table",
     "means_by",
     "multi_join",
     "natural_join",
@@ -91,7 +94,9 @@ __all__ = [
     "parse_words_int",
     "pattern",
     "patterns",
+    "patterns_at",
     "publish",
+    "queue_lines",
     "read_lines",
     "reduce_relations",
     "render",

@@ -20,7 +20,7 @@ from tripleflow.functions.text import render_map
 from tripleflow.operators.counts import publish
 from tripleflow.operators.match import match
 from tripleflow.patterns import pattern, patterns
-from tripleflow.sources.lines import read_lines
+from tripleflow.sources.lines import enqueue_lines, queue_lines, read_lines
 from tripleflow.sources.tables import (
     SCHEMAS,
     event_stream,
@@ -29,6 +29,7 @@ from tripleflow.sources.tables import (
     events_as_triples,
     table,
 )
+from tripleflow.sources.triples import parse_triples, to_lines
 from tripleflow.sources.workdir import fresh_folder
 from tripleflow.streaming import (
     delta_schema,
@@ -260,3 +261,13 @@ def _stream_publish(spark: SparkSession, d: str) -> DataFrame:
     views = match(event_stream_in_batches(spark, d), pattern("?u_view_?v"))
     run_to_end(publish(views, f"{folder}/lines", f"{folder}/checkpoint"))
     return read_lines(spark, f"{folder}/lines")
+
+
+@query("src8_queue", f"WITH {EVENTS} SELECT subj, pred, obj FROM ev")
+def _queue(spark: SparkSession, d: str) -> DataFrame:
+    """All events go through a queue folder in three messages and come back as triples."""
+    folder = fresh_folder(spark, "queue")
+    events = event_triples(spark, d)
+    for k in range(3):
+        enqueue_lines(to_lines(events.where(F.col("seq") % 3 == k)), folder, str(k))
+    return _collected(parse_triples(queue_lines(spark, folder, files_per_batch=1)))

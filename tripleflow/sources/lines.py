@@ -30,6 +30,32 @@ def read_lines(
     return raw.select(trim_blanks(F.col("value")).alias("line")).where(F.length("line") > 0)
 
 
+def queue_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """A folder used as a queue of text files, as a stream of its lines; see `enqueue_lines`.
+
+    Files are taken oldest first, at most ``files_per_batch`` in a micro-batch.  The stream's
+    checkpoint holds what has been taken: after a failure the same files come again as the
+    same batch.  A file is deleted only after the batch that took it has been committed, at
+    the latest by the second batch after it, so nothing is lost with a reader that dies.
+    """
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("cleanSource", "delete")
+    raw = reader.text(f"{folder}/*")
+    return raw.select(trim_blanks(F.col("value")).alias("line")).where(F.length("line") > 0)
+
+
+def enqueue_lines(lines: DataFrame, folder: str, name: str) -> None:
+    """Put the column ``line`` of a table into a queue folder, as one message folder ``name``.
+
+    A name that is complete already is not written again, so a writer that repeats a step
+    under the same name, such as a micro-batch under its number, delivers it once.
+    """
+    spark = lines.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return
+    lines.select("line").write.mode("overwrite").text(f"{folder}/{name}")
+
+
 def read_log(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """Lines of log files as ``file, pos, line``, untrimmed.
 
