@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from tripleflow.functions.text import merge_bindings
 from tripleflow.operators.joins import (
@@ -186,6 +187,54 @@ def test_sketches_of_many_values_keep_their_bound(spark):
             assert 0 < error < exact[name] and abs(n - exact[name]) <= error, name
 
 
+def test_groups_of_a_cycle_build_no_product(spark):
+    """300 x 300 members of one nation, of whom one order each tells the pairs."""
+    facts = [(f"{k}{i}", "inNation", "N1") for k in "cs" for i in range(300)]
+    facts += [(f"o{i}", p, f"{k}{i}") for i in range(300) for p, k in (("placedBy", "c"), ("soldBy", "s"))]
+    triples = spark.createDataFrame([*facts, ("N1", "inRegion", "R1")], "subj string, pred string, obj string")
+    query = patterns(["?n_inRegion_R1", "?c_inNation_?n", "?o_placedBy_?c", "?o_soldBy_?s", "?s_inNation_?n"])
+    joined = bgp_grouped(triples, query)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    # the suppliers' nation is looked up with both of its variables, not by the nation alone
+    keys = [line.count(" = ") for line in plan.splitlines() if "Join Inner" in line]
+    assert sorted(keys) == [1, 1, 1, 2]
+    assert joined.count() == 300 and bag(joined) == bag(bgp(triples, query))
+
+
+def test_few_triples_of_a_pattern_are_sent_to_all_tasks(spark, monkeypatch):
+    """A predicate has two values: dealt by them, all rows would lie in two tasks."""
+    query = patterns(DEFAULT_QUERY)
+    universe = triple_universe(spark, spark.range(3_000))
+    with monkeypatch.context() as m:
+        m.setattr("tripleflow.plans.bgp.FEW_ROWS", 1_000)  # ?e_?d_1 has six rows, A_bar_?b 3,000
+        for source in (universe, share_scan(universe, query)):
+            for plan in (bgp, bgp_grouped):
+                joined = plan(source, query)
+                text = joined._jdf.queryExecution().optimizedPlan().toString()
+                hints = [line for line in text.splitlines() if "strategy=broadcast" in line]
+                assert len(hints) == 3
+                assert joined.count() == 36 * 3_000
+    repeated = universe.unionAll(universe.where("obj = '1'"))
+    assert bag(bgp_grouped(repeated, query)) == bag(bgp(repeated, query))
+
+
+def test_shared_scan_writes_without_a_sort(spark):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    seen = []
+    real = DataFrameWriter.parquet
+
+    def parquet(writer, path, *args, **kwargs):
+        seen.append(spark.conf.get(key))
+        return real(writer, path, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", parquet)
+        shared = share_scan(triple_universe(spark, 20), patterns(DEFAULT_QUERY))
+    assert seen == [str(len(DEFAULT_QUERY))] and spark.conf.get(key) == before
+    assert bag(bgp(shared, patterns(DEFAULT_QUERY))) == bag(bgp(triple_universe(spark, 20), patterns(DEFAULT_QUERY)))
+
+
 def test_shared_scan_reads_the_source_once(universe, rows):
     query = patterns([*DEFAULT_QUERY, "?x_foo_?b", "A_foo_1"])
     shared = share_scan(universe, query)
