@@ -96,6 +96,28 @@ def test_the_plan_has_one_exchange_for_each_relation(spark, tmp_path):
     assert bag(one_shuffle_join(relations, cells=8)) == bag(multi_join(relations))
 
 
+def test_copies_are_dropped_where_rows_are_dealt_to(spark, tmp_path):
+    """Fewer cells than shuffle partitions: an exchange for each relation and one for the partial result, none for the sets."""
+    rows = {c: some_edges(i, 60) for i, c in enumerate(("ab", "bc", "ca"))}
+    for c, some in rows.items():
+        edges(spark, c, some + some[:30]).write.parquet(f"{tmp_path}/{c}")
+    relations = [spark.read.schema(f"{c[0]} string, {c[1]} string").parquet(f"{tmp_path}/{c}") for c in rows]
+    expected = bag(multi_join([r.distinct() for r in relations]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("2", "20"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            with co_partitioned(spark):
+                joined = local_joins([r.hint("merge") for r in relations], even_shares(relations, 8), distinct=True)
+                plan = joined.select("b")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == (3 if partitions == "2" else 4)
+            assert bag(one_shuffle_join(relations, cells=8, distinct=True)) == expected
+            kept = one_shuffle_join(relations, cells=8, distinct=True, keep=["b"])
+            assert kept.columns == ["b"] and kept.count() == sum(expected.values())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_every_combination_meets_in_one_cell(spark):
     shares = {"a": 2, "b": 3, "c": 2}
     rows = some_edges(5, 40)
