@@ -109,6 +109,16 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.where(F.expr(alike)).select("x.doc_id", "x.line").distinct()
 
 
+def _met_enough(rows: DataFrame) -> DataFrame:
+    """``doc_id, line, met, needed`` of the lines of which as many tokens stand in several lines as ``needed`` says.
+
+    ``needed`` is summed up before it is compared: the filter on it would otherwise be pushed into
+    one of the two uses of the shuffle in `_met_twice`, and all tokens be shuffled twice.
+    """
+    met = _met_twice(rows).groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("met"), F.min("needed").alias("needed"))
+    return met.where("met >= needed")
+
+
 def _possible(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, line`` of lines with the tokens of an earlier line, and of the other lines that may have a partner."""
     place = F.struct("doc_id", "line")
@@ -135,7 +145,7 @@ def _possible(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.explode_outer("prefix").alias("t"), F.col("place.doc_id").alias("doc_id"), F.col("place.line").alias("line"),
         F.expr(_NEEDED).alias("needed"),
     )
-    met = _met_twice(rows).groupBy("doc_id", "line", "needed").count().where("count >= needed")
+    met = _met_enough(rows)
     possible = written(met.groupBy("doc_id").agg(F.collect_list("line").alias("wanted")), "line-possible")
     discard(first)
     return copies, possible
