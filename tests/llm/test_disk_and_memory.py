@@ -1,4 +1,4 @@
-"""What steps leave on disk, and what stands between them: shuffles made once."""
+"""What steps leave on disk, and what stands between them: shuffles made once, files not copied in the heap."""
 
 import glob
 import time
@@ -6,8 +6,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tripleflow.llm import line_dedup
+from tripleflow.llm import line_dedup, token_files
 from tripleflow.llm.common import CLEANUP, settings, written
+from tripleflow.llm.queries import END_ID, tokenizer_file
 
 
 def _plan(frame, capsys):
@@ -60,3 +61,24 @@ def test_lines_met_often_enough_stay(spark):
     )
     found = {(r.doc_id, r.line): (r.met, r.needed) for r in line_dedup._met_enough(rows).collect()}
     assert found == {(5, 0): (2, 2), (6, 1): (1, 1), (8, 0): (1, 1)}
+
+
+def test_file_contents_go_to_python_without_a_copy_in_the_plan(spark, tmp_path, capsys):
+    docs = spark.createDataFrame([(i, f"text {i}\nand 2 more") for i in range(40)], "doc_id long, text string")
+    token_files.write_token_files(docs, tokenizer_file("byte_bpe_50k.json"), END_ID, f"{tmp_path}/records", bytes_per_file=200)
+    read = token_files.read_token_files(spark, f"{tmp_path}/records")
+    above_scan = _plan(read, capsys).split("Scan binaryFile")[0]
+    assert "MapInArrow" in above_scan and "Filter" not in above_scan and "Project" not in above_scan
+    found = read.select("doc_id", "file").collect()
+    assert sorted(r.doc_id for r in found) == list(range(40)) and len({r.file for r in found}) > 5
+    assert all(r.file.startswith("part-") for r in found)
+
+
+def test_a_file_of_bytes_that_are_no_text(spark, tmp_path):
+    """The text type that carries a file's content changes none of its bytes."""
+    texts = ["".join(map(chr, range(k, k + 40))) for k in range(32, 20_000, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_files(docs, tokenizer_file("byte_bpe_50k.json"), END_ID, f"{tmp_path}/records", bytes_per_file=3000)
+    contents = [open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/records/part-*"))]
+    assert any(b"\xff" in c or b"\xc0" in c for c in contents)
+    assert sum(1 for c in contents for _ in token_files.parse(c)) == len(texts)
