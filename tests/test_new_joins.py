@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from tests import simulate
+from tripleflow.operators import hypercube
 from tripleflow.operators.correlate import bounded_join, bounded_multi_join
 from tripleflow.operators.hypercube import co_partitioned, even_shares, local_joins, one_shuffle_join, place_in_cells
 from tripleflow.operators.joins import multi_join
@@ -118,6 +119,36 @@ def test_copies_are_dropped_where_rows_are_dealt_to(spark, tmp_path):
             spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_rows_dealt_by_join_keys_are_not_copied(spark):
+    """Fewer cells than shuffle partitions: each relation is sent once, not once for every place on the axes it lacks."""
+    relations = [edges(spark, c, some_edges(i, 60)) for i, c in enumerate(("ab", "bc", "ca"))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        plan = local_joins(relations, even_shares(relations, 8))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "explode" not in plan and hypercube.CELL not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_crowded_values_of_the_first_join_spread_over_the_grid(spark, monkeypatch, distinct):
+    monkeypatch.setattr(hypercube, "CROWDED_ROWS", 15)
+    monkeypatch.setattr(hypercube, "CROWDED_TIMES", 0)
+    names = ("ab", "bc", "ca", "ad", "de")
+    relations = [edges(spark, c, some_edges(i, 40) + [("hot", f"x{k % 8}") for k in range(20)] + [(f"x{k % 8}", "hot") for k in range(20)]) for i, c in enumerate(names)]
+    expected = bag(multi_join([r.distinct() for r in relations] if distinct else relations))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with co_partitioned(spark):
+            joined = local_joins(relations, even_shares(relations, 16), distinct)
+            assert "Generate" in joined._jdf.queryExecution().optimizedPlan().toString()
+            assert bag(joined) == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_every_combination_meets_in_one_cell(spark):
     shares = {"a": 2, "b": 3, "c": 2}
     rows = some_edges(5, 40)
