@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
+from urllib.parse import unquote
 
 import duckdb
 import numpy as np
@@ -12,8 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.conftest import PASSAGE
 from tripleflow.llm import exact_dedup, html_extract, line_dedup, packing, quality, sentencepiece_codec
 from tripleflow.llm import simhash, suffix_dedup, token_files, toxicity
+from tripleflow.llm.common import written
 from tripleflow.llm.queries import END_ID, tokenizer_file
 
 sha = lambda data: hashlib.sha256(data).hexdigest()
@@ -164,6 +168,40 @@ def test_repeated_strings(docs, pairs):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), spans, sha(kept)), i
 
 
+def test_crowded_buckets_of_strings(spark, monkeypatch):
+    """Whole runs are stored, and of their strings those whose fingerprint meets another's are compared by bytes."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", 3)
+    stored = []
+    monkeypatch.setattr(suffix_dedup, "written", lambda f, purpose: stored.append((purpose, t := written(f, purpose))) or t)
+    monkeypatch.setattr(suffix_dedup, "discard", lambda table: None)
+    shared = "the quick brown fox jumps over the lazy dog while seven wizards watch from a distant hill"
+    rows = [(i, f"{chr(97 + i) * 40}{shared}{'yz'[i % 2] * (12 + i % 5)}{chr(97 + i) * 60}") for i in range(20)]
+    docs = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string")
+    want = brute.removed_bytes(rows)
+    found = by_id(suffix_dedup.removal_digests(docs))
+    assert {i: r.n_removed for i, r in found.items()} == {i: int(want[i].sum()) for i, _ in rows}
+    assert sum(int(w.sum()) for w in want.values()) > 0
+    crowded = dict(stored)["run-bytes"].where("hot").selectExpr("sn % 256 AS n", "length(raw) AS k").collect()
+    assert len(crowded) > 3 and max(r.n for r in crowded) > 1 and all(r.k == r.n + suffix_dedup.LENGTH - 1 for r in crowded)
+
+
+def test_repeated_strings_leave_one_table_and_cut_texts_once(spark, monkeypatch):
+    plans, files = {}, {}
+
+    def kept(frame, purpose):
+        plans[purpose] = frame._jdf.queryExecution().optimizedPlan().toString()
+        table = written(frame, purpose)
+        files[purpose] = [unquote(f.removeprefix("file://")) for f in table.inputFiles()]
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "written", kept)
+    rows = [(i, f"{PASSAGE} and {PASSAGE} {i // 2}") for i in range(12)]
+    found = suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert plans["shared-runs"].count("MapInArrow") == 1
+    assert {p for p, some in files.items() if any(map(os.path.exists, some))} == {"repeats"}
+    assert all(files.values()) and len(files) == 4 and found.count() > 0
+
+
 def test_difference_cover():
     for period in (7, 32, 50):
         places = suffix_dedup.cover(period)

@@ -14,7 +14,9 @@ their common bytes instead of one by one.
    residues such that any two positions meet a sampled one after the same number of steps
    below the period.  Memory is bounded by the block, however long the repeated text is.
    Only ties matter here, so ranks are ordered by a fingerprint; bytes of equal ranks are
-   compared.  A bucket with very many classes is taken string by string instead.
+   compared.
+4. Buckets with very many classes are taken string by string: a string whose fingerprint
+   is met once is no repeat, the others are sorted by their bytes.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleflow.llm.common import id_and_text, written
+from tripleflow.llm.common import discard, id_and_text, written
 
 LENGTH = 100
 GRAM = 32
@@ -236,6 +238,47 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(np.array(ids, np.int64), np.array(sn, np.int64), raw)
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``h, doc_id, sn, raw``: ``f, h, doc_id, sn, at`` with a fingerprint of each string, ``at`` in its run."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 5000):
+            h, doc_id, sn = (batch.column(c).slice(k, 5000).to_numpy() for c in range(3))
+            raw = batch.column(3).slice(k, 5000).to_pylist()
+            lengths, counts = np.array([len(r) for r in raw], np.int64), sn % 256
+            at = _strings(counts)
+            places = np.repeat(np.cumsum(lengths) - lengths, counts) + at
+            f = mixed(Rolling(np.frombuffer(b"".join(raw), np.uint8)).at(places, LENGTH)).view(np.int64)
+            columns = [f, *(np.repeat(x, counts) for x in (h, doc_id, sn)), at]
+            yield pa.record_batch([pa.array(x) for x in columns], ["f", "h", "doc_id", "sn", "at"])
+
+
+def _strings_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, sn, raw, at``: ``doc_id, sn, raw`` of the strings ``at`` these places of their runs."""
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(4)]
+        rows = [
+            (doc_id, (sn // 256 + i) * 256 + 1, raw[i : i + LENGTH])
+            for doc_id, sn, raw, at in zip(*columns, strict=True) for i in sorted(set(at))
+        ]
+        for k in range(0, len(rows), 5000):
+            some = zip(*rows[k : k + 5000], strict=True)
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(some, kinds, strict=True)], ["doc_id", "sn", "raw"])
+
+
+def _after_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id, sn, raw`` sorted by ``raw`` and place: all but those at the first place of their bytes."""
+    last, first = None, None
+    for batch in batches:
+        out = []
+        for doc_id, sn, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if raw != last:
+                last, first = raw, (doc_id, sn)
+            elif (doc_id, sn) != first:
+                out.append((doc_id, sn))
+        yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["doc_id", "sn"])
+
+
 def _with_bytes(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``h, hot, doc_id, sn, raw``: the bytes of runs, cut from their documents once each."""
 
@@ -250,10 +293,7 @@ def _with_bytes(docs: DataFrame, first: DataFrame) -> DataFrame:
                     # a row that repeats the id with a shorter text does not reach as far
                     if start + n - 1 + LENGTH > len(raw):
                         continue
-                    if run["hot"]:
-                        rows += [(run["h"], True, doc_id, k * 256 + 1, raw[k : k + LENGTH]) for k in range(start, start + n)]
-                    else:
-                        rows.append((run["h"], False, doc_id, run["sn"], raw[start : start + n - 1 + LENGTH]))
+                    rows.append((run["h"], run["hot"], doc_id, run["sn"], raw[start : start + n - 1 + LENGTH]))
                 for k in range(0, len(rows), 5000):
                     columns = zip(*rows[k : k + 5000], strict=True)
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
@@ -264,11 +304,24 @@ def _with_bytes(docs: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
+def _repeats_of_crowded(run_bytes: DataFrame) -> DataFrame:
+    """``doc_id, sn``: repeats among the strings of runs ``h, doc_id, sn, raw``, in buckets of any size."""
+    marked = run_bytes.mapInArrow(_marked, "f long, h long, doc_id long, sn long, at long")
+    met = marked.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("f"))).where("n > 1")
+    wanted = met.groupBy("h", "doc_id", "sn").agg(F.collect_list("at").alias("at"))
+    strings = run_bytes.join(wanted, ["h", "doc_id", "sn"]).select("doc_id", "sn", "raw", "at").mapInArrow(
+        _strings_at, "doc_id long, sn long, raw binary"
+    )
+    return (
+        strings.repartition("raw").sortWithinPartitions("raw", "doc_id", "sn")
+        .mapInArrow(_after_first, "doc_id long, sn long")
+    )
+
+
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """``doc_id, sn``: stretches of string starts that also start earlier."""
-    found = runs(docs)
-    several = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    shared = written(found.join(several, "h"), "shared-runs")
+    together = F.count(F.lit(1)).over(Window.partitionBy("h"))
+    shared = written(runs(docs).withColumn("n", together).where("n > 1").drop("n"), "shared-runs")
     place = F.struct("doc_id", "sn")
     classes = written(
         shared.groupBy("h", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")),
@@ -287,10 +340,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
         texts.where("not hot").select("h", "doc_id", "sn", "raw")
         .repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc_id long, sn long")
     )
-    single = texts.where("hot").select("doc_id", "sn", "raw")
-    least = single.groupBy("raw").agg(F.min(place).alias("first"))
-    again = single.join(least, "raw").where(place != F.col("first")).select("doc_id", "sn")
-    return later.unionByName(compared).unionByName(again)
+    again = _repeats_of_crowded(texts.where("hot").select("h", "doc_id", "sn", "raw"))
+    out = written(later.unionByName(compared).unionByName(again), "repeats")
+    for table in (shared, classes, texts):
+        discard(table)
+    return out
 
 
 def spans_of(stretches: np.ndarray) -> list[tuple[int, int]]:
