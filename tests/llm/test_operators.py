@@ -168,6 +168,21 @@ def test_repeated_strings(docs, pairs):
         assert (row.n_bytes, row.n_removed, row.n_spans, row.kept_sha256) == (len(data), int(gone.sum()), spans, sha(kept)), i
 
 
+def test_strings_that_share_a_fingerprint(monkeypatch):
+    """Ranks do not rest on fingerprints: their bytes decide where these meet."""
+    data = np.frombuffer(("ab cd ef gh " * 40 + "ab cd eg gh " * 40).encode(), np.uint8)
+    places = np.arange(0, len(data) - suffix_dedup.LENGTH, 7)
+    order = np.arange(len(places))[::-1].copy()
+    strings = [data[p : p + suffix_dedup.LENGTH].tobytes() for p in places]
+    least = {}
+    for s, o in zip(strings, order):
+        least[s] = min(o, least.get(s, o))
+    want = [o > least[s] for s, o in zip(strings, order)]
+    at = suffix_dedup.Rolling.at
+    monkeypatch.setattr(suffix_dedup.Rolling, "at", lambda self, starts, lengths: at(self, starts, lengths) & np.uint64(7))
+    assert suffix_dedup.repeats_in_block(data, places, order).tolist() == want and 0 < sum(want) < len(want)
+
+
 def test_crowded_buckets_of_strings(spark, monkeypatch):
     """Whole runs are stored, and of their strings those whose fingerprint meets another's are compared by bytes."""
     monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", 3)

@@ -14,7 +14,7 @@ their common bytes instead of one by one.
    residues such that any two positions meet a sampled one after the same number of steps
    below the period.  Memory is bounded by the block, however long the repeated text is.
    Only ties matter here, so ranks are ordered by a fingerprint; bytes of equal ranks are
-   compared.
+   compared, and order the strings where fingerprints meet.
 4. Buckets with very many classes are taken string by string: a string whose fingerprint
    is met once is no repeat, the others are sorted by their bytes.
 """
@@ -153,11 +153,11 @@ def _ranks(rolling: Rolling, data: np.ndarray, places: np.ndarray, length: int)
     order = np.argsort(marks, kind="stable")
     s = marks[order]
     same = np.flatnonzero(s[1:] == s[:-1])
+    strings = np.lib.stride_tricks.sliding_window_view(data, length)
     for k in range(0, len(same), 1 << 17):
         x, y = places[order[same[k : k + (1 << 17)]]], places[order[same[k : k + (1 << 17)] + 1]]
-        step = np.arange(length)
-        if (data[x[:, None] + step] != data[y[:, None] + step]).any():
-            raise ValueError("two strings share a fingerprint")
+        if (strings[x] != strings[y]).any():  # two strings share a fingerprint
+            return np.unique(strings[places].view(f"V{length}").ravel(), return_inverse=True)[1].astype(np.int64)
     ranks = np.empty(len(places), np.int64)
     ranks[order] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) if len(s) else s.astype(np.int64)
     return ranks
